@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollway.functions import affected_segments, minute_of, whole_div
-from tollway.operators.ordered import running, with_previous
+from tollway.functions import affected_segments, minute_of
+from tollway.operators.ordered import minute_piece, running, time_piece, with_previous
 from tollway.schema import REPORT_COLUMNS, SEGMENT, SEGMENT_MINUTE, Params
 
 SPOT = ["xway", "dir", "lane", "position"]
@@ -33,7 +33,7 @@ def stopped_at_place(state: DataFrame, changes: DataFrame, params: Params = Para
     counted = running(
         by_time,
         SPOT,
-        whole_div("time", params.piece_seconds),
+        time_piece(params),
         [F.col("time"), F.col("delta")],
         sums={"standing": "delta"},
     ).drop("delta")
@@ -49,7 +49,7 @@ def accidents(changes: DataFrame, place: list[str], params: Params = Params()) -
     null if there is none. A vehicle stands once per road, so the count is of vehicles.
     """
     by_time = changes.groupBy(*place, "time").agg(F.sum("delta").alias("delta"))
-    piece = whole_div("time", params.piece_seconds)
+    piece = time_piece(params)
     counted = running(
         by_time, place, piece, [F.col("time"), F.col("delta")], sums={"standing": "delta"}
     )
@@ -128,7 +128,7 @@ def accident_zones(
     run = running(
         summed,
         SEGMENT,
-        whole_div("minute", params.piece_minutes),
+        minute_piece(params),
         order,
         sums={f"sum_{c}": c for c in ahead},
     )
@@ -213,7 +213,7 @@ def accident_minutes(
     run = running(
         by_time,
         SEGMENT,
-        whole_div("time", params.piece_seconds),
+        time_piece(params),
         [F.col("time"), F.col("delta"), F.col("asked")],
         sums={"active": "delta"},
     )

@@ -1,17 +1,16 @@
 """Exact ordered scans over groups of any size.
 
-A window function sends each group to one task. A group here (a vehicle, an account, a
-segment) may hold a large share of all rows, so every ordered operator cuts its groups
-into pieces along the order (say, a million seconds each) and windows over (group, piece).
-What a piece needs from the pieces before it is small: the last few rows, or a running
-total. It is taken from the tail row of each piece, walked over the pieces of the group
-(one row or a few per piece), and joined back on (group, piece).
-
-Both branches read the same shuffle of (group, piece), so the rows move once. Spark reuses
-that exchange when both branches need the same columns, which is why callers order by all
-columns they keep: the order is then total, too, and a retried task sees the same rows in
-the same places. Where a recording is shorter than a piece there is nothing to carry, and
-adaptive execution drops the join.
+A window function sends each group to one task, and a group here (a vehicle, an account, a
+segment) may hold a large share of all rows. Its rows have distinct times, though, so a
+recording known to end within `piece_seconds` bounds the group, and a plain window will do.
+
+Otherwise every group is cut into pieces along the order, `piece_seconds` each, and the
+window runs over (group, piece). What a piece needs from the pieces before it is small: the
+last few rows, or a running total. It is taken from the tail rows of each piece, walked over
+the pieces of the group (one row or a few per piece), and joined back on (group, piece).
+Both branches read the same shuffle of (group, piece). Spark reuses that exchange when both
+need the same columns, which is why callers order by all columns they keep: the order is
+then total, too, and a retried task sees the same rows in the same places.
 """
 
 from __future__ import annotations
@@ -21,9 +20,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollway.schema import Params
+
 PIECE = "_piece"
 
 
+def time_piece(params: Params) -> Column | None:
+    """Pieces along `time`; None where one piece is known to hold the whole recording."""
+    if params.horizon is not None and params.horizon < params.piece_seconds:
+        return None
+    return F.call_function("div", F.col("time"), F.lit(params.piece_seconds))
+
+
+def minute_piece(params: Params) -> Column | None:
+    """Pieces along `minute`, likewise."""
+    if params.horizon is not None and params.horizon // 60 + 1 < params.piece_minutes:
+        return None
+    return F.call_function("div", F.col("minute"), F.lit(params.piece_minutes))
+
+
 def _windows(keys: Sequence[str], order: Sequence[Column]):
     part = [*keys, PIECE]
     return part, Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
@@ -32,7 +47,7 @@ def _windows(keys: Sequence[str], order: Sequence[Column]):
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
-    piece: Column,
+    piece: Column | None,
     order: Sequence[Column],
     fields: Mapping[str, int],
 ) -> DataFrame:
@@ -44,6 +59,8 @@ def with_previous(
     part, here, along = _windows(keys, order)
     depth = max(fields.values())
     back = [(f, k) for f, d in fields.items() for k in range(1, d + 1)]
+    if piece is None:
+        return df.select("*", *[F.lag(f, k).over(along).alias(f"{f}_{k}") for f, k in back])
     cut = df.withColumn(PIECE, piece)
 
     inside = cut.select(
@@ -82,7 +99,7 @@ def with_previous(
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    piece: Column,
+    piece: Column | None,
     order: Sequence[Column],
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
@@ -94,8 +111,16 @@ def running(
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     part, here, along = _windows(keys, order)
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    first, now, zero = Window.unboundedPreceding, Window.currentRow, F.lit(0)
+    if piece is None:
+        whole = along.rowsBetween(first, now)
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(c).over(whole), zero).alias(n) for n, c in sums.items()],
+            *[F.last(c, ignorenulls=True).over(whole).alias(n) for n, c in lasts.items()],
+        )
+    upto = here.rowsBetween(first, now)
+    before = along.rowsBetween(first, -1)
 
     inside = df.withColumn(PIECE, piece).select(
         "*",
@@ -114,7 +139,6 @@ def running(
         .where("_earlier IS NOT NULL")
         .drop("_earlier")
     )
-    zero = F.lit(0)
     return inside.drop("_more").join(carried, part, "left").select(
         *df.columns,
         *[
@@ -128,26 +152,26 @@ def running(
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
-    axis: str,
-    width: int,
-    piece_width: int,
+    params: Params,
     sums: Mapping[str, tuple[str, int]],
 ) -> DataFrame:
-    """Add sums over the rows whose `axis` lies 1..n before the current row's, n <= `width`.
+    """Add sums over the rows of the 1..n minutes before the current row's `minute`.
 
-    `sums` maps the new column to (column, n). A row in the last `width` of its piece is
-    copied into the next piece, so no frame reaches outside its piece and no carry is needed.
+    `sums` maps the new column to (column, n). A row that frames of the next piece reach is
+    copied into it, so no frame looks outside its piece and nothing has to be carried.
     """
-    home = F.call_function("div", F.col(axis), F.lit(piece_width))
-    near_end = F.col(axis) % piece_width >= piece_width - width
-    spread = df.withColumn(
-        PIECE, F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
-    over = Window.partitionBy(*keys, PIECE).orderBy(axis)
-    return (
-        spread.select(
+    home = minute_piece(params)
+
+    def summed(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+        over = Window.partitionBy(*part).orderBy("minute")
+        return rows.select(
             "*", *[F.sum(c).over(over.rangeBetween(-n, -1)).alias(o) for o, (c, n) in sums.items()]
         )
-        .where(F.col(PIECE) == home)
-        .drop(PIECE)
-    )
+
+    if home is None:
+        return summed(df, keys)
+    width = max(n for _, n in sums.values())
+    near_end = F.col("minute") % params.piece_minutes >= params.piece_minutes - width
+    copies = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = df.withColumn(PIECE, F.explode(copies))
+    return summed(spread, [*keys, PIECE]).where(F.col(PIECE) == home).drop(PIECE)

@@ -35,9 +35,7 @@ def segment_conditions(stats: DataFrame, params: Params = Params()) -> DataFrame
     summed = trailing(
         stats,
         SEGMENT,
-        "minute",
-        span,
-        params.piece_minutes,
+        params,
         {"_speed": ("speed_sum", span), "_reports": ("reports", span), "_nov": ("nov", 1)},
     )
     return summed.select(
@@ -58,9 +56,7 @@ def lav(stats: DataFrame, params: Params = Params()) -> DataFrame:
 def nov_distinct(reports: DataFrame, params: Params = Params()) -> DataFrame:
     """Distinct vehicles of the minute and of the minute before."""
     seen = reports.groupBy(*SEGMENT_MINUTE).agg(F.count_distinct("vid").alias("vehicles"))
-    before = trailing(
-        seen, SEGMENT, "minute", 1, params.piece_minutes, {"_before": ("vehicles", 1)}
-    )
+    before = trailing(seen, SEGMENT, params, {"_before": ("vehicles", 1)})
     return before.select(*SEGMENT_MINUTE, "vehicles", F.coalesce("_before", F.lit(0)).alias("nov"))
 
 
@@ -68,9 +64,7 @@ def lav_mean_of_minutes(reports: DataFrame, params: Params = Params()) -> DataFr
     """Mean of the minutes' mean speeds over the five minutes before, a silent minute being 0."""
     means = reports.groupBy(*SEGMENT_MINUTE).agg(F.avg("speed").alias("mean_speed"))
     span = params.lav_minutes
-    summed = trailing(
-        means, SEGMENT, "minute", span, params.piece_minutes, {"_sum": ("mean_speed", span)}
-    )
+    summed = trailing(means, SEGMENT, params, {"_sum": ("mean_speed", span)})
     return summed.select(
         *SEGMENT_MINUTE,
         F.round(F.coalesce(F.col("_sum"), F.lit(0.0)) / span, 6).alias("lav"),
@@ -154,9 +148,7 @@ def segment_tolls(stats: DataFrame, accident_minutes: DataFrame, params: Params
     before = trailing(
         own,
         SEGMENT,
-        "minute",
-        1,
-        params.piece_minutes,
+        params,
         {
             "_reports": ("reports", 1),
             "_speed": ("speed_sum", 1),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollway.functions import toll_amount, whole_div
-from tollway.operators.ordered import running
+from tollway.functions import toll_amount
+from tollway.operators.ordered import running, time_piece
 from tollway.schema import (
     ACCIDENT_ALERT,
     ACCOUNT_BALANCE,
@@ -58,7 +58,7 @@ def account_balance(tolls: DataFrame, requests: DataFrame, params: Params = Para
     run = running(
         rows,
         ["vid", "xway"],
-        whole_div("time", params.piece_seconds),
+        time_piece(params),
         [F.col(c) for c in ("time", "asks", "toll", "qid")],
         sums={"told": "toll"},
         lasts={"latest": "toll"},
@@ -90,11 +90,24 @@ def historical_balances(requests: DataFrame, history: DataFrame) -> DataFrame:
 def all_notifications(
     tolls: DataFrame, balances: DataFrame, expenditures: DataFrame
 ) -> DataFrame:
-    """Every answer in one table; alerts are the toll rows with an accident ahead."""
-    told = F.lit(POSITION_REPORT).alias("typ")
-    toll_rows = tolls.select(told, "vid", "time", "xway", "lav", "toll")
-    alerts = tolls.where(F.col("accident_segment") != -1).select(
-        F.lit(ACCIDENT_ALERT).alias("typ"), "vid", "time", "xway", "dir", "accident_segment"
+    """Every answer in one table; a toll row with an accident ahead gives an alert, too."""
+
+    def message(typ: int, *fields: str) -> Column:
+        kinds = {"lav": "int", "toll": "bigint", "dir": "int", "accident_segment": "int"}
+        return F.struct(
+            F.lit(typ).alias("typ"),
+            *[
+                (F.col(c) if c in fields else F.lit(None)).cast(t).alias(c)
+                for c, t in kinds.items()
+            ],
+        )
+
+    told = message(POSITION_REPORT, "lav", "toll")
+    alert = message(ACCIDENT_ALERT, "dir", "accident_segment")
+    ahead = F.col("accident_segment") != -1
+    messages = F.when(ahead, F.array(told, alert)).otherwise(F.array(told))
+    toll_rows = tolls.select("vid", "time", "xway", F.explode(messages).alias("m")).select(
+        "vid", "time", "xway", "m.*"
     )
     balance_rows = balances.select(
         F.lit(ACCOUNT_BALANCE).alias("typ"), "vid", "time", "xway", "qid", "balance"
@@ -107,10 +120,8 @@ def all_notifications(
         "qid",
         F.col("toll").cast("bigint").alias("toll"),
     )
-    return (
-        toll_rows.unionByName(alerts, allowMissingColumns=True)
-        .unionByName(balance_rows, allowMissingColumns=True)
-        .unionByName(daily_rows, allowMissingColumns=True)
+    return toll_rows.unionByName(balance_rows, allowMissingColumns=True).unionByName(
+        daily_rows, allowMissingColumns=True
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions import minute_of, whole_div
-from tollway.operators.ordered import running, with_previous
+from tollway.operators.ordered import running, time_piece, with_previous
 from tollway.schema import EXIT_LANE, REPORT_COLUMNS, ROAD, Params
 
 VEHICLE = [*ROAD, "vid"]
@@ -45,7 +45,7 @@ def vehicle_state(reports: DataFrame, params: Params = Params()) -> DataFrame:
     back = with_previous(
         rows,
         VEHICLE,
-        whole_div("time", params.piece_seconds),
+        time_piece(params),
         _in_order(rows.columns),
         {"position": n, "lane": n, "segment": 1, "time": 1},
     )
@@ -107,7 +107,7 @@ def stop_intervals(changes: DataFrame, params: Params = Params()) -> DataFrame:
     later_first = [F.col("time").desc(), *[F.col(c).desc() for c in columns]]
     return (
         with_previous(
-            changes, VEHICLE, whole_div("time", params.piece_seconds), later_first, {"time": 1}
+            changes, VEHICLE, time_piece(params), later_first, {"time": 1}
         )
         .where(F.col("delta") == 1)
         .select(
@@ -132,7 +132,7 @@ def stop_detection(reports: DataFrame, params: Params = Params()) -> DataFrame:
     back = with_previous(
         rows,
         ["vid"],
-        whole_div("time", params.piece_seconds),
+        time_piece(params),
         _in_order(rows.columns),
         {f: params.stop_reports - 1 for f in place},
     )
@@ -148,7 +148,7 @@ def trip_reports(reports: DataFrame, params: Params = Params()) -> DataFrame:
     stay rows; an array of them would have no bound.
     """
     rows = reports.select(*REPORT_COLUMNS)
-    piece = whole_div("time", params.piece_seconds)
+    piece = time_piece(params)
     back = with_previous(rows, ["vid"], piece, _in_order(rows.columns), {"time": 1})
     gap = F.col("time") - F.col("time_1")
     starts = F.when(gap.isNull() | (gap >= params.trip_gap_seconds), 1).otherwise(0)

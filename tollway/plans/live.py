@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tollway.operators import accidents as acc
 from tollway.operators import reports as rep
@@ -14,6 +16,12 @@ from tollway.operators import vehicles as veh
 from tollway.schema import Params
 
 
+def measured(events: DataFrame, params: Params = Params()) -> Params:
+    """`params` with the recording's last second, found by a scan of the `time` column."""
+    last = events.agg(F.max("time")).first()[0]
+    return replace(params, horizon=int(last or 0))
+
+
 class LivePath:
     """The operators wired together over one events table; every attribute is a lazy DataFrame.
 

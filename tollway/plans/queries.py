@@ -13,7 +13,8 @@ from tollway.operators import segments as seg
 from tollway.operators import tolls as tol
 from tollway.operators import vehicles as veh
 from tollway.operators import words as wrd
-from tollway.plans.live import LivePath
+from tollway.plans.live import LivePath, measured
+from tollway.schema import Params
 from tollway.sources import lines as lin
 from tollway.sources import roads
 from tollway.sources.history import tolls_by_vehicle
@@ -23,8 +24,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 
 
+_params: dict[tuple[str, str], Params] = {}
+
+
 def live_path(spark: SparkSession, sf_dir: str) -> LivePath:
-    return LivePath(roads.road_events(spark, sf_dir), roads.road_history(spark, sf_dir))
+    events = roads.road_events(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _params:
+        _params[key] = measured(events)
+    return LivePath(events, roads.road_history(spark, sf_dir), _params[key])
 
 
 def _on_lines(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
@@ -67,40 +75,41 @@ _on_path(
 _on_path("vehicle_state", lambda p: p.state)
 _on_path("segment_crossings", lambda p: p.crossings)
 _on_path("stopped_vehicles", lambda p: veh.stopped_vehicles(p.state))
-_on_path("stop_intervals", lambda p: veh.stop_intervals(p.stop_changes))
-_on_path("stop_detection", lambda p: veh.stop_detection(p.reports))
-_on_path("vehicle_trips", lambda p: veh.vehicle_trips(p.reports))
-_on_path("trip_reports", lambda p: veh.trip_reports(p.reports))
+_on_path("stop_intervals", lambda p: veh.stop_intervals(p.stop_changes, p.params))
+_on_path("stop_detection", lambda p: veh.stop_detection(p.reports, p.params))
+_on_path("vehicle_trips", lambda p: veh.vehicle_trips(p.reports, p.params))
+_on_path("trip_reports", lambda p: veh.trip_reports(p.reports, p.params))
 
 # Accidents
-_on_path("stopped_at_place", lambda p: acc.stopped_at_place(p.state, p.stop_changes))
+_on_path("stopped_at_place", lambda p: acc.stopped_at_place(p.state, p.stop_changes, p.params))
 _on_path("accidents_by_segment", lambda p: p.accidents)
-_on_path("accidents_by_position", lambda p: acc.accidents_by_position(p.stop_changes))
-_on_path("accident_lookup", lambda p: acc.accident_lookup(p.state, p.accidents))
-_on_path("accident_lookup_lowest", lambda p: acc.accident_lookup_lowest(p.state, p.accidents))
+_on_path("accidents_by_position", lambda p: acc.accidents_by_position(p.stop_changes, p.params))
+_on_path("accident_lookup", lambda p: acc.accident_lookup(p.state, p.accidents, p.params))
+_on_path("accident_lookup_lowest", lambda p: acc.accident_lookup_lowest(p.state, p.accidents, p.params))
 _on_path("accident_alerts", lambda p: p.alerts)
 
 
 def _accident_minutes(p: LivePath) -> DataFrame:
-    return acc.accident_minutes(p.state, acc.accidents(p.stop_changes, acc.SEGMENT_POSITION))
+    spots = acc.accidents(p.stop_changes, acc.SEGMENT_POSITION, p.params)
+    return acc.accident_minutes(p.state, spots, p.params)
 
 
 _on_path("accident_minutes", _accident_minutes)
-_on_path("accident_minute_lookup", lambda p: acc.accident_minute_lookup(p.state))
+_on_path("accident_minute_lookup", lambda p: acc.accident_minute_lookup(p.state, p.params))
 
 # Segments
 _on_path("segment_minute_stats", lambda p: p.stats)
-_on_path("nov", lambda p: seg.nov(p.stats))
-_on_path("lav", lambda p: seg.lav(p.stats))
-_on_path("nov_distinct", lambda p: seg.nov_distinct(p.reports))
-_on_path("lav_mean_of_minutes", lambda p: seg.lav_mean_of_minutes(p.reports))
+_on_path("nov", lambda p: seg.nov(p.stats, p.params))
+_on_path("lav", lambda p: seg.lav(p.stats, p.params))
+_on_path("nov_distinct", lambda p: seg.nov_distinct(p.reports, p.params))
+_on_path("lav_mean_of_minutes", lambda p: seg.lav_mean_of_minutes(p.reports, p.params))
 _on_path("segment_minute_report_count", lambda p: seg.segment_minute_report_count(p.reports))
-_on_path("running_speed_sum", lambda p: seg.running_speed_sum(p.reports))
-_on_path("running_crossing_stats", lambda p: seg.running_crossing_stats(p.state))
+_on_path("running_speed_sum", lambda p: seg.running_speed_sum(p.reports, p.params))
+_on_path("running_crossing_stats", lambda p: seg.running_crossing_stats(p.state, p.params))
 _on_path("vehicle_minute_speed", lambda p: seg.vehicle_minute_speed(p.reports))
 _on_path("minute_speed", lambda p: seg.minute_speed(seg.vehicle_minute_speed(p.reports)))
 _on_path("single_report_segments", lambda p: seg.single_report_segments(p.reports))
-_on_path("segment_tolls", lambda p: seg.segment_tolls(p.stats, _accident_minutes(p)))
+_on_path("segment_tolls", lambda p: seg.segment_tolls(p.stats, _accident_minutes(p), p.params))
 
 # Tolls and accounts
 _on_path(

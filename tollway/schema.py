@@ -28,7 +28,9 @@ class Params:
     lav_limit: int = 40
     free_vehicles: int = 50
     trip_gap_seconds: int = 60
-    # How far one ordered group reaches before it is cut (see operators/ordered.py).
+    # Seconds the recording spans at most, if measured; and how far one ordered group may
+    # reach before it is cut (see operators/ordered.py).
+    horizon: int | None = None
     piece_seconds: int = 1_000_000
     piece_minutes: int = 100_000
     piece_vehicles: int = 1_000_000
