@@ -14,9 +14,9 @@ from tollway.schema import EXIT_LANE, REPORT_COLUMNS, ROAD, Params
 VEHICLE = [*ROAD, "vid"]
 
 
-def _in_order(columns) -> list[Column]:
+def _in_order(columns, keys) -> list[Column]:
     """Time first, then every other column: a total order, and one shuffle for all users."""
-    return [F.col("time"), *[F.col(c) for c in columns if c != "time"]]
+    return [F.col("time"), *[F.col(c) for c in columns if c != "time" and c not in keys]]
 
 
 def _all_equal(fields: list[str], start: int, stop: int) -> Column:
@@ -46,7 +46,7 @@ def vehicle_state(reports: DataFrame, params: Params = Params()) -> DataFrame:
         rows,
         VEHICLE,
         time_piece(params),
-        _in_order(rows.columns),
+        _in_order(rows.columns, VEHICLE),
         {"position": n, "lane": n, "segment": 1, "time": 1},
     )
     place = ["position", "lane"]
@@ -103,7 +103,7 @@ def stop_changes(state: DataFrame) -> DataFrame:
 
 def stop_intervals(changes: DataFrame, params: Params = Params()) -> DataFrame:
     """Stops with their begin and end times; `end_time` is null while the vehicle stands."""
-    columns = [c for c in changes.columns if c != "time"]
+    columns = [c for c in changes.columns if c != "time" and c not in VEHICLE]
     later_first = [F.col("time").desc(), *[F.col(c).desc() for c in columns]]
     return (
         with_previous(
@@ -133,7 +133,7 @@ def stop_detection(reports: DataFrame, params: Params = Params()) -> DataFrame:
         rows,
         ["vid"],
         time_piece(params),
-        _in_order(rows.columns),
+        _in_order(rows.columns, ["vid"]),
         {f: params.stop_reports - 1 for f in place},
     )
     return back.select(
@@ -149,12 +149,12 @@ def trip_reports(reports: DataFrame, params: Params = Params()) -> DataFrame:
     """
     rows = reports.select(*REPORT_COLUMNS)
     piece = time_piece(params)
-    back = with_previous(rows, ["vid"], piece, _in_order(rows.columns), {"time": 1})
+    back = with_previous(rows, ["vid"], piece, _in_order(rows.columns, ["vid"]), {"time": 1})
     gap = F.col("time") - F.col("time_1")
     starts = F.when(gap.isNull() | (gap >= params.trip_gap_seconds), 1).otherwise(0)
     marked = back.select(*REPORT_COLUMNS, starts.alias("starts"))
     numbered = running(
-        marked, ["vid"], piece, _in_order(marked.columns), sums={"trip": "starts"}
+        marked, ["vid"], piece, _in_order(marked.columns, ["vid"]), sums={"trip": "starts"}
     )
     return numbered.drop("starts")
 

@@ -13,7 +13,9 @@ from tollway.operators import reports as rep
 from tollway.operators import segments as seg
 from tollway.operators import tolls as tol
 from tollway.operators import vehicles as veh
+from tollway.operators.ordered import time_piece
 from tollway.schema import Params
+from tollway.sources.workdir import written
 
 
 def measured(events: DataFrame, params: Params = Params()) -> Params:
@@ -23,10 +25,12 @@ def measured(events: DataFrame, params: Params = Params()) -> Params:
 
 
 class LivePath:
-    """The operators wired together over one events table; every attribute is a lazy DataFrame.
+    """The operators wired together over one events table; the attributes are DataFrames.
 
     The statistics, the accidents and the crossings all start from `state`. Its shuffle is
-    the same in all of them, so Spark runs it once and reads it again.
+    the same in all of them, so Spark runs it once and reads it again. All of it is lazy,
+    unless the recording is so long that groups are cut: each cut reads its input twice, so
+    the small tables between the steps are then written out where they are first used.
     """
 
     def __init__(self, events: DataFrame, history: DataFrame, params: Params = Params()):
@@ -34,6 +38,9 @@ class LivePath:
         self.history = history
         self.params = params
 
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        return df if time_piece(self.params) is None else written(df, name)
+
     @cached_property
     def reports(self) -> DataFrame:
         return rep.position_reports(self.events)
@@ -48,11 +55,11 @@ class LivePath:
 
     @cached_property
     def stop_changes(self) -> DataFrame:
-        return veh.stop_changes(self.state)
+        return self._step(veh.stop_changes(self.state), "stop_changes")
 
     @cached_property
     def stats(self) -> DataFrame:
-        return seg.segment_minute_stats(self.state)
+        return self._step(seg.segment_minute_stats(self.state), "stats")
 
     @cached_property
     def conditions(self) -> DataFrame:
@@ -60,7 +67,7 @@ class LivePath:
 
     @cached_property
     def accidents(self) -> DataFrame:
-        return acc.accidents_by_segment(self.stop_changes, self.params)
+        return self._step(acc.accidents_by_segment(self.stop_changes, self.params), "accidents")
 
     @cached_property
     def zones(self) -> DataFrame:
@@ -68,11 +75,11 @@ class LivePath:
 
     @cached_property
     def context(self) -> DataFrame:
-        return tol.segment_context(self.conditions, self.zones)
+        return self._step(tol.segment_context(self.conditions, self.zones), "context")
 
     @cached_property
     def tolls(self) -> DataFrame:
-        return tol.toll_notifications(self.crossings, self.context, self.params)
+        return self._step(tol.toll_notifications(self.crossings, self.context, self.params), "tolls")
 
     @cached_property
     def alerts(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
 
@@ -32,3 +32,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{root}/tollway/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a folder of its own and read back, which cuts its lineage.
+
+    Without a shared folder `df` is given back as it is.
+    """
+    spark = df.sparkSession
+    if shared_root(spark) is None:
+        return df
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
