@@ -29,22 +29,30 @@ from tollway.streaming import state
 
 cloudpickle.register_pickle_by_value(state)
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_STORE = "spark.sql.streaming.stateStore"
+_STATE_CONF = {
+    f"{_STATE_STORE}.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # a micro-batch uploads its changes, not a snapshot of all state
+    f"{_STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
     """Start queries with the state store that keyed processors need."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
+    for k, v in _STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def vehicle_state_stream(events: DataFrame, params: Params = Params()) -> DataFrame:
