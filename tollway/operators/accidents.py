@@ -7,9 +7,7 @@ report with an accident, is ever formed to be filtered away later.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions import affected_segments, minute_of
@@ -81,23 +79,23 @@ def accidents_by_position(changes: DataFrame, params: Params = Params()) -> Data
     )
 
 
-def accident_zones(
-    by_segment: DataFrame, minutes: DataFrame, params: Params = Params()
-) -> DataFrame:
-    """The segments and minutes, of those in `minutes`, with an accident ahead.
+def ahead_columns(params: Params) -> list[str]:
+    """Accidents by distance: `ahead_0` in the segment itself, `ahead_1` in the next, ..."""
+    return [f"ahead_{d}" for d in range(params.alert_reach + 1)]
+
+
+def accident_edges(by_segment: DataFrame, params: Params = Params()) -> DataFrame:
+    """Where and when accidents come into force (1) and out of it (-1), by distance.
 
     An accident counts from the minute after it was created through the one it was cleared
-    in, for its own segment and up to `alert_reach` segments before it. Per affected segment
-    and distance the accidents are run up along the minutes, so an accident costs two rows
-    per segment however long it lasts. `accident_segment` is the nearest accident's,
-    `lowest_segment` the lowest numbered.
+    in, for its own segment and up to `alert_reach` segments before it. It costs two rows
+    per segment however long it lasts.
     """
-    ahead = [f"ahead_{d}" for d in range(params.alert_reach + 1)]
     edges = F.array(
         F.struct((F.col("created_minute") + 1).alias("minute"), F.lit(1).alias("delta")),
         F.struct((F.col("cleared_minute") + 1).alias("minute"), F.lit(-1).alias("delta")),
     )
-    spread = (
+    return (
         by_segment.select("xway", "dir", "segment", F.explode(edges).alias("edge"))
         .where("edge.minute IS NOT NULL")
         .select(
@@ -111,40 +109,58 @@ def accident_zones(
             *SEGMENT_MINUTE,
             *[
                 F.when(F.col("distance") == d, F.col("delta")).otherwise(0).alias(c)
-                for d, c in enumerate(ahead)
+                for d, c in enumerate(ahead_columns(params))
             ],
-            F.lit(False).alias("asked"),
         )
     )
-    asked = minutes.select(
-        *SEGMENT_MINUTE, *[F.lit(0).alias(c) for c in ahead], F.lit(True).alias("asked")
-    )
-    summed = (
-        spread.unionByName(asked)
-        .groupBy(*SEGMENT_MINUTE)
-        .agg(*[F.sum(c).alias(c) for c in ahead], F.bool_or("asked").alias("asked"))
-    )
-    order = [F.col(c) for c in ("minute", *ahead, "asked")]
+
+
+def accidents_in_force(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """Run the edges in `rows` (one per segment and minute) up along the minutes.
+
+    Adds `accident_segment`, the nearest segment with an accident in force, and
+    `lowest_segment`, the lowest numbered; null where there is none.
+    """
+    ahead = ahead_columns(params)
     run = running(
-        summed,
+        rows,
         SEGMENT,
         minute_piece(params),
-        order,
+        [F.col("minute")],
         sums={f"sum_{c}": c for c in ahead},
     )
-    active = [F.col(f"sum_{c}") > 0 for c in ahead]
     sign = F.when(F.col("dir") == 0, 1).otherwise(-1)
-    at = [(F.col("segment") + sign * d).cast("int") for d in range(len(ahead))]
+    by_distance = [
+        F.when(F.col(f"sum_{c}") > 0, (F.col("segment") + sign * d).cast("int"))
+        for d, c in enumerate(ahead)
+    ]
+    nearest, farthest = F.coalesce(*by_distance), F.coalesce(*by_distance[::-1])
+    return run.select(
+        *rows.columns,
+        nearest.alias("accident_segment"),
+        F.when(F.col("dir") == 0, nearest).otherwise(farthest).alias("lowest_segment"),
+    )
 
-    def first_of(pairs) -> Column:
-        return F.coalesce(*[F.when(is_on, seg) for is_on, seg in pairs])
 
-    pairs = list(zip(active, at))
-    lowest = F.when(F.col("dir") == 0, first_of(pairs)).otherwise(first_of(pairs[::-1]))
-    return run.where(F.col("asked") & reduce(lambda a, b: a | b, active)).select(
-        *SEGMENT_MINUTE,
-        first_of(pairs).alias("accident_segment"),
-        lowest.alias("lowest_segment"),
+def accident_zones(
+    by_segment: DataFrame, minutes: DataFrame, params: Params = Params()
+) -> DataFrame:
+    """The segments and minutes, of those in `minutes`, with an accident ahead."""
+    ahead = ahead_columns(params)
+    asked = minutes.select(
+        *SEGMENT_MINUTE, *[F.lit(0).alias(c) for c in ahead], F.lit(True).alias("asked")
+    )
+    summed = (
+        accident_edges(by_segment, params)
+        .withColumn("asked", F.lit(False))
+        .unionByName(asked)
+        .groupBy(*SEGMENT_MINUTE)
+        .agg(*[F.sum(c).alias(c) for c in ahead], F.bool_or("asked").alias("asked"))
+    )
+    return (
+        accidents_in_force(summed, params)
+        .where(F.col("asked") & F.col("accident_segment").isNotNull())
+        .select(*SEGMENT_MINUTE, "accident_segment", "lowest_segment")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions import toll_amount, whole_div
+from tollway.operators.accidents import accident_edges, accidents_in_force, ahead_columns
 from tollway.operators.ordered import running, trailing
 from tollway.schema import SEGMENT, SEGMENT_MINUTE, Params
 
@@ -29,8 +30,7 @@ def _rounded_mean(total: Column, count: Column) -> Column:
     return F.coalesce(mean, F.lit(0)).cast("int")
 
 
-def segment_conditions(stats: DataFrame, params: Params = Params()) -> DataFrame:
-    """`nov` of the minute before and `lav`, the mean speed of the five minutes before."""
+def _conditions(stats: DataFrame, params: Params) -> DataFrame:
     span = params.lav_minutes
     summed = trailing(
         stats,
@@ -39,12 +39,42 @@ def segment_conditions(stats: DataFrame, params: Params = Params()) -> DataFrame
         {"_speed": ("speed_sum", span), "_reports": ("reports", span), "_nov": ("nov", 1)},
     )
     return summed.select(
-        *SEGMENT_MINUTE,
+        *[c for c in stats.columns if c not in ("speed_sum", "reports", "nov")],
         F.coalesce("_nov", F.lit(0)).alias("nov"),
         _rounded_mean(F.col("_speed"), F.col("_reports")).alias("lav"),
     )
 
 
+def segment_conditions(stats: DataFrame, params: Params = Params()) -> DataFrame:
+    """`nov` of the minute before and `lav`, the mean speed of the five minutes before."""
+    return _conditions(stats, params)
+
+
+def segment_context(
+    stats: DataFrame, by_segment: DataFrame, params: Params = Params()
+) -> DataFrame:
+    """What a report finds in its segment and minute: `nov`, `lav` and the accident ahead.
+
+    The statistics and the edges of accidents are laid over each other, one row per segment
+    and minute, and swept together; `accident_segment` is -1 where nothing is ahead.
+    """
+    ahead, counts = ahead_columns(params), ["speed_sum", "reports", "nov"]
+    zero = F.lit(0).cast("bigint")
+    edges = accident_edges(by_segment, params).select(
+        *SEGMENT_MINUTE, *[zero.alias(c) for c in counts], *[F.col(c).cast("bigint") for c in ahead]
+    )
+    own = stats.select(*SEGMENT_MINUTE, *counts, *[zero.alias(c) for c in ahead])
+    laid = own.unionByName(edges).groupBy(*SEGMENT_MINUTE)
+    summed = laid.agg(*[F.sum(c).alias(c) for c in [*counts, *ahead]], F.max("reports").alias("asked"))
+    swept = accidents_in_force(_conditions(summed, params), params)
+    return swept.where(F.col("asked") > 0).select(
+        *SEGMENT_MINUTE,
+        "nov",
+        "lav",
+        F.coalesce("accident_segment", F.lit(-1)).alias("accident_segment"),
+    )
+
+
 def nov(stats: DataFrame, params: Params = Params()) -> DataFrame:
     return segment_conditions(stats, params).select(*SEGMENT_MINUTE, "nov")
 

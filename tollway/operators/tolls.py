@@ -17,13 +17,6 @@ from tollway.schema import (
 )
 
 
-def segment_context(conditions: DataFrame, zones: DataFrame) -> DataFrame:
-    """Traffic and accident ahead of each segment and minute; one row each."""
-    return conditions.join(zones, SEGMENT_MINUTE, "left").select(
-        *SEGMENT_MINUTE, "nov", "lav", F.coalesce("accident_segment", F.lit(-1)).alias("accident_segment")
-    )
-
-
 def report_segment_context(state: DataFrame, context: DataFrame) -> DataFrame:
     """Reports with the context of their segment and minute."""
     return state.join(context, SEGMENT_MINUTE).select(
@@ -45,31 +38,31 @@ def account_balance(tolls: DataFrame, requests: DataFrame, params: Params = Para
     """The balance each request sees: the sum of the tolls told so far but the last.
 
     The last told toll falls due when the vehicle leaves its segment. A toll told in the
-    second of the request counts as told. An as-of join by union and running sum: every toll
-    and request moves once, and no account is held whole.
+    second of the request counts as told.
+
+    An as-of join by union and running sum over the seconds of an account: those with a toll
+    and those with a request, however many requests there are. The requests then look up
+    their second.
     """
-    rows = tolls.select(
-        "vid", "xway", "time", F.lit(False).alias("asks"), "toll", F.lit(None).cast("string").alias("qid")
-    ).unionByName(
-        requests.select(
-            "vid", "xway", "time", F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("toll"), "qid"
-        )
+    account = ["vid", "xway"]
+    told = tolls.select(*account, "time", F.lit(False).alias("asks"), "toll")
+    asked = (
+        requests.select(*account, "time")
+        .distinct()
+        .select(*account, "time", F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("toll"))
     )
     run = running(
-        rows,
-        ["vid", "xway"],
+        told.unionByName(asked),
+        account,
         time_piece(params),
-        [F.col(c) for c in ("time", "asks", "toll", "qid")],
+        [F.col(c) for c in ("time", "asks", "toll")],
         sums={"told": "toll"},
         lasts={"latest": "toll"},
     )
-    return run.where("asks").select(
-        "vid",
-        "time",
-        "xway",
-        "qid",
-        (F.col("told") - F.coalesce("latest", F.lit(0))).alias("balance"),
+    at = run.where("asks").select(
+        *account, "time", (F.col("told") - F.coalesce("latest", F.lit(0))).alias("balance")
     )
+    return requests.join(at, [*account, "time"]).select("vid", "time", "xway", "qid", "balance")
 
 
 def daily_expenditure(requests: DataFrame, history: DataFrame) -> DataFrame:

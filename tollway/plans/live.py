@@ -29,17 +29,25 @@ class LivePath:
 
     The statistics, the accidents and the crossings all start from `state`. Its shuffle is
     the same in all of them, so Spark runs it once and reads it again. All of it is lazy,
-    unless the recording is so long that groups are cut: each cut reads its input twice, so
-    the small tables between the steps are then written out where they are first used.
+    unless `write_steps` is set: each step is then written to the shared folder where it is
+    first used, and read from there. That is the default for a recording so long that groups
+    are cut, as each cut reads its input twice.
     """
 
-    def __init__(self, events: DataFrame, history: DataFrame, params: Params = Params()):
+    def __init__(
+        self,
+        events: DataFrame,
+        history: DataFrame,
+        params: Params = Params(),
+        write_steps: bool | None = None,
+    ):
         self.events = events
         self.history = history
         self.params = params
+        self.write_steps = time_piece(params) is not None if write_steps is None else write_steps
 
     def _step(self, df: DataFrame, name: str) -> DataFrame:
-        return df if time_piece(self.params) is None else written(df, name)
+        return written(df, name) if self.write_steps else df
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -47,7 +55,7 @@ class LivePath:
 
     @cached_property
     def state(self) -> DataFrame:
-        return veh.vehicle_state(self.reports, self.params)
+        return self._step(veh.vehicle_state(self.reports, self.params), "state")
 
     @cached_property
     def crossings(self) -> DataFrame:
@@ -75,7 +83,7 @@ class LivePath:
 
     @cached_property
     def context(self) -> DataFrame:
-        return self._step(tol.segment_context(self.conditions, self.zones), "context")
+        return self._step(seg.segment_context(self.stats, self.accidents, self.params), "context")
 
     @cached_property
     def tolls(self) -> DataFrame:
