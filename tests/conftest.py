@@ -12,11 +12,11 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def make_session(master: str = "local[8]") -> SparkSession:
+    from tollway.session import with_settings
+
     spark = (
-        SparkSession.builder.master(master)
+        with_settings(SparkSession.builder.master(master), 8)
         .appName("tollway-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")

@@ -32,7 +32,7 @@ def stopped_at_place(state: DataFrame, changes: DataFrame, params: Params = Para
         by_time,
         SPOT,
         time_piece(params),
-        [F.col("time"), F.col("delta")],
+        ["time", "delta"],
         sums={"standing": "delta"},
     ).drop("delta")
     return reports.join(counted, [*SPOT, "time"], "left").select(
@@ -49,13 +49,13 @@ def accidents(changes: DataFrame, place: list[str], params: Params = Params()) -
     by_time = changes.groupBy(*place, "time").agg(F.sum("delta").alias("delta"))
     piece = time_piece(params)
     counted = running(
-        by_time, place, piece, [F.col("time"), F.col("delta")], sums={"standing": "delta"}
+        by_time, place, piece, ["time", "delta"], sums={"standing": "delta"}
     )
     crash = F.col("standing") >= params.crash_vehicles
     before = F.col("standing") - F.col("delta") >= params.crash_vehicles
     edges = counted.where(crash != before).select(*place, "time", crash.alias("begins"))
     ends = with_previous(
-        edges, place, piece, [F.col("time").desc(), F.col("begins").desc()], {"time": 1}
+        edges, place, piece, ["time DESC", "begins DESC"], {"time": 1}
     )
     return ends.where("begins").select(
         *place, F.col("time").alias("begin_time"), F.col("time_1").alias("end_time")
@@ -126,7 +126,7 @@ def accidents_in_force(rows: DataFrame, params: Params = Params()) -> DataFrame:
         rows,
         SEGMENT,
         minute_piece(params),
-        [F.col("minute")],
+        ["minute"],
         sums={f"sum_{c}": c for c in ahead},
     )
     sign = F.when(F.col("dir") == 0, 1).otherwise(-1)
@@ -230,7 +230,7 @@ def accident_minutes(
         by_time,
         SEGMENT,
         time_piece(params),
-        [F.col("time"), F.col("delta"), F.col("asked")],
+        ["time", "delta", "asked"],
         sums={"active": "delta"},
     )
     return (

@@ -17,38 +17,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tollway.schema import Params
 
 PIECE = "_piece"
 
 
-def time_piece(params: Params) -> Column | None:
+def time_piece(params: Params) -> str | None:
     """Pieces along `time`; None where one piece is known to hold the whole recording."""
     if params.horizon is not None and params.horizon < params.piece_seconds:
         return None
-    return F.call_function("div", F.col("time"), F.lit(params.piece_seconds))
+    return f"time div {params.piece_seconds}"
 
 
-def minute_piece(params: Params) -> Column | None:
+def minute_piece(params: Params) -> str | None:
     """Pieces along `minute`, likewise."""
     if params.horizon is not None and params.horizon // 60 + 1 < params.piece_minutes:
         return None
-    return F.call_function("div", F.col("minute"), F.lit(params.piece_minutes))
+    return f"minute div {params.piece_minutes}"
 
 
-def _windows(keys: Sequence[str], order: Sequence[Column]):
-    part = [*keys, PIECE]
-    return part, Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
+def _over(keys: Sequence[str], order: Sequence[str], frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)} {frame})"
+
+
+_UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
-    piece: Column | None,
-    order: Sequence[Column],
+    piece: str | None,
+    order: Sequence[str],
     fields: Mapping[str, int],
 ) -> DataFrame:
     """Add `<field>_<k>`: the field's value k rows earlier in the group, for k = 1..depth.
@@ -56,51 +58,46 @@ def with_previous(
     `fields` maps a column to its depth. `piece` must not decrease along `order` (or not
     increase, when the order descends). Values before the first row are null.
     """
-    part, here, along = _windows(keys, order)
-    depth = max(fields.values())
-    back = [(f, k) for f, d in fields.items() for k in range(1, d + 1)]
+    back = [(f, k) for f, depth in fields.items() for k in range(1, depth + 1)]
+    along = _over(keys, order)
     if piece is None:
-        return df.select("*", *[F.lag(f, k).over(along).alias(f"{f}_{k}") for f, k in back])
-    cut = df.withColumn(PIECE, piece)
+        return df.selectExpr("*", *[f"lag({f}, {k}) {along} AS {f}_{k}" for f, k in back])
 
-    inside = cut.select(
-        "*",
-        F.row_number().over(here).alias("_rn"),
-        *[F.lag(f, k).over(here).alias(f"_{f}_{k}") for f, k in back],
+    part = [*keys, PIECE]
+    here = _over(part, order)
+    cut = df.selectExpr("*", f"{piece} AS {PIECE}")
+    inside = cut.selectExpr(
+        "*", f"row_number() {here} AS _rn", *[f"lag({f}, {k}) {here} AS _{f}_{k}" for f, k in back]
     )
 
-    # The last `depth` rows of each piece, then for the very last one the rows up to it.
-    tails = cut.withColumn("_more", F.lead(F.lit(1), depth).over(here)).where("_more IS NULL")
+    # The last rows of each piece, as many as are looked back at; then the very last one of
+    # them with those before it, for the piece that follows.
+    tails = cut.selectExpr("*", f"lead(1, {max(fields.values())}) {here} AS _more")
     carried = (
-        tails.select(
+        tails.where("_more IS NULL")
+        .selectExpr(
             *keys,
-            F.col(PIECE).alias("_from"),
-            F.lead(PIECE).over(along).alias(PIECE),
-            *[
-                (F.col(f) if k == 1 else F.lag(f, k - 1).over(along)).alias(f"_c_{f}_{k}")
-                for f, k in back
-            ],
+            f"{PIECE} AS _from",
+            f"lead({PIECE}) {along} AS {PIECE}",
+            *[f"lag({f}, {k - 1}) {along} AS _c_{f}_{k}" for f, k in back],
         )
-        .where(F.col(PIECE) != F.col("_from"))
+        .where(f"{PIECE} <> _from")
         .drop("_from")
     )
 
-    joined = inside.join(carried, part, "left")
-
-    def reach(f: str, k: int) -> Column:
-        value = F.when(F.col("_rn") > k, F.col(f"_{f}_{k}"))
-        for rn in range(1, k + 1):
-            value = value.when(F.col("_rn") == rn, F.col(f"_c_{f}_{k - rn + 1}"))
-        return value.alias(f"{f}_{k}")
+    def reach(f: str, k: int) -> str:
+        before = " ".join(f"WHEN _rn = {rn} THEN _c_{f}_{k - rn + 1}" for rn in range(1, k + 1))
+        return f"CASE WHEN _rn > {k} THEN _{f}_{k} {before} END AS {f}_{k}"
 
-    return joined.select(*df.columns, *[reach(f, k) for f, k in back])
+    joined = inside.join(carried, part, "left")
+    return joined.selectExpr(*df.columns, *[reach(f, k) for f, k in back])
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    piece: Column | None,
-    order: Sequence[Column],
+    piece: str | None,
+    order: Sequence[str],
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
 ) -> DataFrame:
@@ -110,42 +107,42 @@ def running(
     value null until something non-null was seen.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    part, here, along = _windows(keys, order)
-    first, now, zero = Window.unboundedPreceding, Window.currentRow, F.lit(0)
     if piece is None:
-        whole = along.rowsBetween(first, now)
-        return df.select(
+        whole = _over(keys, order, _UP_TO_HERE)
+        return df.selectExpr(
             "*",
-            *[F.coalesce(F.sum(c).over(whole), zero).alias(n) for n, c in sums.items()],
-            *[F.last(c, ignorenulls=True).over(whole).alias(n) for n, c in lasts.items()],
+            *[f"coalesce(sum({c}) {whole}, 0) AS {n}" for n, c in sums.items()],
+            *[f"last({c}) IGNORE NULLS {whole} AS {n}" for n, c in lasts.items()],
         )
-    upto = here.rowsBetween(first, now)
-    before = along.rowsBetween(first, -1)
 
-    inside = df.withColumn(PIECE, piece).select(
+    part = [*keys, PIECE]
+    upto = _over(part, order, _UP_TO_HERE)
+    inside = df.selectExpr("*", f"{piece} AS {PIECE}").selectExpr(
         "*",
-        *[F.sum(c).over(upto).alias(f"_{n}") for n, c in sums.items()],
-        *[F.last(c, ignorenulls=True).over(upto).alias(f"_{n}") for n, c in lasts.items()],
-        F.lead(F.lit(1)).over(here).alias("_more"),
+        *[f"sum({c}) {upto} AS _{n}" for n, c in sums.items()],
+        *[f"last({c}) IGNORE NULLS {upto} AS _{n}" for n, c in lasts.items()],
+        f"lead(1) {_over(part, order)} AS _more",
     )
+    along, before = _over(keys, [PIECE]), _over(keys, [PIECE], _BEFORE)
     carried = (
         inside.where("_more IS NULL")
-        .select(
+        .selectExpr(
             *part,
-            F.lag(F.lit(1)).over(along).alias("_earlier"),
-            *[F.sum(f"_{n}").over(before).alias(f"_c_{n}") for n in sums],
-            *[F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
+            f"lag(1) {along} AS _earlier",
+            *[f"sum(_{n}) {before} AS _c_{n}" for n in sums],
+            *[f"last(_{n}) IGNORE NULLS {before} AS _c_{n}" for n in lasts],
         )
         .where("_earlier IS NOT NULL")
         .drop("_earlier")
     )
-    return inside.drop("_more").join(carried, part, "left").select(
-        *df.columns,
-        *[
-            (F.coalesce(F.col(f"_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n)
-            for n in sums
-        ],
-        *[F.coalesce(F.col(f"_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts],
+    return (
+        inside.drop("_more")
+        .join(carried, part, "left")
+        .selectExpr(
+            *df.columns,
+            *[f"coalesce(_{n}, 0) + coalesce(_c_{n}, 0) AS {n}" for n in sums],
+            *[f"coalesce(_{n}, _c_{n}) AS {n}" for n in lasts],
+        )
     )
 
 
@@ -160,18 +157,21 @@ def trailing(
     `sums` maps the new column to (column, n). A row that frames of the next piece reach is
     copied into it, so no frame looks outside its piece and nothing has to be carried.
     """
-    home = minute_piece(params)
 
     def summed(rows: DataFrame, part: Sequence[str]) -> DataFrame:
-        over = Window.partitionBy(*part).orderBy("minute")
-        return rows.select(
-            "*", *[F.sum(c).over(over.rangeBetween(-n, -1)).alias(o) for o, (c, n) in sums.items()]
+        frames = {n: f"RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING" for _, n in sums.values()}
+        return rows.selectExpr(
+            "*",
+            *[f"sum({c}) {_over(part, ['minute'], frames[n])} AS {o}" for o, (c, n) in sums.items()],
         )
 
+    home = minute_piece(params)
     if home is None:
         return summed(df, keys)
-    width = max(n for _, n in sums.values())
-    near_end = F.col("minute") % params.piece_minutes >= params.piece_minutes - width
-    copies = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.withColumn(PIECE, F.explode(copies))
-    return summed(spread, [*keys, PIECE]).where(F.col(PIECE) == home).drop(PIECE)
+    width, length = max(n for _, n in sums.values()), params.piece_minutes
+    pieces = (
+        f"CASE WHEN minute % {length} >= {length - width} THEN array({home}, {home} + 1) "
+        f"ELSE array({home}) END"
+    )
+    spread = df.selectExpr("*", f"explode({pieces}) AS {PIECE}")
+    return summed(spread, [*keys, PIECE]).where(f"{PIECE} = {home}").drop(PIECE)

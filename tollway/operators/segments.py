@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollway.functions import toll_amount, whole_div
+from tollway.functions import toll_amount
 from tollway.operators.accidents import accident_edges, accidents_in_force, ahead_columns
 from tollway.operators.ordered import running, trailing
 from tollway.schema import SEGMENT, SEGMENT_MINUTE, Params
@@ -105,10 +105,10 @@ def segment_minute_report_count(reports: DataFrame) -> DataFrame:
     return reports.groupBy(*SEGMENT_MINUTE).agg(F.count("*").alias("reports"))
 
 
-def _arrival(params: Params) -> Column:
+def _arrival(params: Params) -> str:
     """Pieces of one second of a segment: at most `piece_vehicles` rows, as each vehicle
     reports once a second."""
-    return F.struct("time", whole_div("vid", params.piece_vehicles).alias("vehicles"))
+    return f"struct(time, vid div {params.piece_vehicles} AS vehicles)"
 
 
 def running_speed_sum(reports: DataFrame, params: Params = Params()) -> DataFrame:
@@ -119,7 +119,7 @@ def running_speed_sum(reports: DataFrame, params: Params = Params()) -> DataFram
         rows,
         SEGMENT_MINUTE,
         _arrival(params),
-        [F.col(c) for c in columns],
+        columns,
         sums={"reports": "one", "speed_sum": "speed"},
     ).drop("one", "speed")
 
@@ -139,7 +139,7 @@ def running_crossing_stats(state: DataFrame, params: Params = Params()) -> DataF
         rows,
         SEGMENT_MINUTE,
         _arrival(params),
-        [F.col(c) for c in columns],
+        columns,
         sums={"crossings": "crossed", "reports": "one", "speed_sum": "speed"},
     ).drop("one", "speed", "crossed")
 

@@ -55,7 +55,7 @@ def account_balance(tolls: DataFrame, requests: DataFrame, params: Params = Para
         told.unionByName(asked),
         account,
         time_piece(params),
-        [F.col(c) for c in ("time", "asks", "toll")],
+        ["time", "asks", "toll"],
         sums={"told": "toll"},
         lasts={"latest": "toll"},
     )

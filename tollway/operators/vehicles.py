@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollway.functions import minute_of, whole_div
 from tollway.operators.ordered import running, time_piece, with_previous
 from tollway.schema import EXIT_LANE, REPORT_COLUMNS, ROAD, Params
 
 VEHICLE = [*ROAD, "vid"]
 
 
-def _in_order(columns, keys) -> list[Column]:
+def _in_order(columns: Sequence[str], keys: Sequence[str]) -> list[str]:
     """Time first, then every other column: a total order, and one shuffle for all users."""
-    return [F.col("time"), *[F.col(c) for c in columns if c != "time" and c not in keys]]
+    return ["time", *[c for c in columns if c != "time" and c not in keys]]
 
 
-def _all_equal(fields: list[str], start: int, stop: int) -> Column:
-    """Whether the rows `start`..`stop` back (0 = this one) agree in `fields`; null beyond."""
+def _all_equal(fields: Sequence[str], start: int, stop: int) -> str:
+    """Whether the rows `start`..`stop` back (0 = this one) agree; false beyond the first."""
 
-    def at(f: str, k: int) -> Column:
-        return F.col(f) if k == 0 else F.col(f"{f}_{k}")
+    def at(f: str, k: int) -> str:
+        return f if k == 0 else f"{f}_{k}"
 
-    pairs = [at(f, k) == at(f, k + 1) for k in range(start, stop) for f in fields]
-    return F.coalesce(reduce(lambda a, b: a & b, pairs), F.lit(False))
+    pairs = [f"{at(f, k)} = {at(f, k + 1)}" for k in range(start, stop) for f in fields]
+    return f"coalesce({' AND '.join(pairs)}, false)"
 
 
 def vehicle_state(reports: DataFrame, params: Params = Params()) -> DataFrame:
@@ -40,38 +39,27 @@ def vehicle_state(reports: DataFrame, params: Params = Params()) -> DataFrame:
 
     One report per (xway, dir, vid, time) is expected; see `distinct_events`.
     """
-    n = params.stop_reports
-    rows = reports.select(*REPORT_COLUMNS)
+    n, place = params.stop_reports, ["position", "lane"]
     back = with_previous(
-        rows,
+        reports.select(*REPORT_COLUMNS),
         VEHICLE,
         time_piece(params),
-        _in_order(rows.columns, VEHICLE),
+        _in_order(REPORT_COLUMNS, VEHICLE),
         {"position": n, "lane": n, "segment": 1, "time": 1},
     )
-    place = ["position", "lane"]
-    minute = minute_of("time")
-    first = F.col("time_1").isNull()
-    same = _all_equal(place, 0, 1)
-    stood = _all_equal(place, 1, n)
-    stands = _all_equal(place, 0, n - 1)
-    crossing = (
-        first
-        | (F.col("segment") != whole_div("position_1", params.feet_per_segment))
-        | (F.col("lane_1") == EXIT_LANE)
-    )
-    zero = F.lit(0)
-    return back.select(
+    stands, minute = _all_equal(place, 0, n - 1), "time div 60 + 1"
+    return back.selectExpr(
         *REPORT_COLUMNS,
-        minute.alias("minute"),
-        stands.alias("is_stopped"),
-        crossing.alias("is_crossing"),
-        (first | (minute != minute_of("time_1"))).alias("new_minute"),
-        (stands & ~_all_equal(place, n - 1, n)).alias("stop_began"),
-        (stood & ~same).alias("stop_ended"),
-        F.coalesce("lane_1", zero).alias("last_lane"),
-        F.coalesce("position_1", zero).alias("last_position"),
-        F.coalesce("segment_1", zero).alias("last_segment"),
+        f"{minute} AS minute",
+        f"{stands} AS is_stopped",
+        f"time_1 IS NULL OR segment <> position_1 div {params.feet_per_segment} "
+        f"OR lane_1 = {EXIT_LANE} AS is_crossing",
+        f"time_1 IS NULL OR {minute} <> time_1 div 60 + 1 AS new_minute",
+        f"{stands} AND NOT {_all_equal(place, n - 1, n)} AS stop_began",
+        f"{_all_equal(place, 1, n)} AND NOT {_all_equal(place, 0, 1)} AS stop_ended",
+        "coalesce(lane_1, 0) AS last_lane",
+        "coalesce(position_1, 0) AS last_position",
+        "coalesce(segment_1, 0) AS last_segment",
     )
 
 
@@ -86,38 +74,20 @@ def stopped_vehicles(state: DataFrame) -> DataFrame:
 
 def stop_changes(state: DataFrame) -> DataFrame:
     """One row where a stop begins (`delta` 1) and where it ends (-1), at the stop's place."""
-    began = F.col("stop_began")
-
-    def at(now: str, before: str) -> Column:
-        return F.when(began, F.col(now)).otherwise(F.col(before)).alias(now)
-
-    return state.where(began | F.col("stop_ended")).select(
+    return state.where("stop_began OR stop_ended").selectExpr(
         *VEHICLE,
         "time",
-        at("segment", "last_segment"),
-        at("lane", "last_lane"),
-        at("position", "last_position"),
-        F.when(began, 1).otherwise(-1).alias("delta"),
+        *[f"if(stop_began, {c}, last_{c}) AS {c}" for c in ("segment", "lane", "position")],
+        "if(stop_began, 1, -1) AS delta",
     )
 
 
 def stop_intervals(changes: DataFrame, params: Params = Params()) -> DataFrame:
     """Stops with their begin and end times; `end_time` is null while the vehicle stands."""
-    columns = [c for c in changes.columns if c != "time" and c not in VEHICLE]
-    later_first = [F.col("time").desc(), *[F.col(c).desc() for c in columns]]
-    return (
-        with_previous(
-            changes, VEHICLE, time_piece(params), later_first, {"time": 1}
-        )
-        .where(F.col("delta") == 1)
-        .select(
-            *VEHICLE,
-            "segment",
-            "lane",
-            "position",
-            F.col("time").alias("begin_time"),
-            F.col("time_1").alias("end_time"),
-        )
+    later_first = [f"{c} DESC" for c in _in_order(changes.columns, VEHICLE)]
+    ends = with_previous(changes, VEHICLE, time_piece(params), later_first, {"time": 1})
+    return ends.where("delta = 1").selectExpr(
+        *VEHICLE, "segment", "lane", "position", "time AS begin_time", "time_1 AS end_time"
     )
 
 
@@ -127,18 +97,15 @@ def stop_detection(reports: DataFrame, params: Params = Params()) -> DataFrame:
     True from the `stop_reports`-th report in a row with one expressway, direction, lane and
     position; any other report starts the count anew.
     """
-    place = ["xway", "dir", "lane", "position"]
-    rows = reports.select(*REPORT_COLUMNS)
+    place, depth = ["xway", "dir", "lane", "position"], params.stop_reports - 1
     back = with_previous(
-        rows,
+        reports.select(*REPORT_COLUMNS),
         ["vid"],
         time_piece(params),
-        _in_order(rows.columns, ["vid"]),
-        {f: params.stop_reports - 1 for f in place},
-    )
-    return back.select(
-        *REPORT_COLUMNS, _all_equal(place, 0, params.stop_reports - 1).alias("is_stopped")
+        _in_order(REPORT_COLUMNS, ["vid"]),
+        {f: depth for f in place},
     )
+    return back.selectExpr(*REPORT_COLUMNS, f"{_all_equal(place, 0, depth)} AS is_stopped")
 
 
 def trip_reports(reports: DataFrame, params: Params = Params()) -> DataFrame:
@@ -150,9 +117,8 @@ def trip_reports(reports: DataFrame, params: Params = Params()) -> DataFrame:
     rows = reports.select(*REPORT_COLUMNS)
     piece = time_piece(params)
     back = with_previous(rows, ["vid"], piece, _in_order(rows.columns, ["vid"]), {"time": 1})
-    gap = F.col("time") - F.col("time_1")
-    starts = F.when(gap.isNull() | (gap >= params.trip_gap_seconds), 1).otherwise(0)
-    marked = back.select(*REPORT_COLUMNS, starts.alias("starts"))
+    goes_on = f"coalesce(time - time_1 < {params.trip_gap_seconds}, false)"
+    marked = back.selectExpr(*REPORT_COLUMNS, f"if({goes_on}, 0, 1) AS starts")
     numbered = running(
         marked, ["vid"], piece, _in_order(marked.columns, ["vid"]), sums={"trip": "starts"}
     )

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
+    # no Python stack trace for every column expression; plans are built several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from tollway.schema import EVENT_KEY, EVENT_SCHEMA, LINE_FIELDS
 
 
-def _cast_fields() -> list[Column]:
-    fields = F.split(F.trim("value"), ",", -1)
-    return [
-        F.get(fields, F.lit(LINE_FIELDS.index(f.name))).try_cast(f.dataType).alias(f.name)
-        for f in EVENT_SCHEMA
-    ]
-
-
 def _attempt(lines: DataFrame) -> DataFrame:
-    """Every non-blank line with its fields; a field that is absent or no number is null."""
+    """Every non-blank line with its fields; a field that is absent or no number is null.
+
+    The split is exploded as an array of one, so that filters on the fields stay above it
+    and a line is split once, not once for every field.
+    """
     keep = [c for c in ("timestamp",) if c in lines.columns]
-    return lines.where(F.length(F.trim("value")) > 0).select("value", *keep, *_cast_fields())
+    fields = F.explode(F.array(F.split(F.trim("value"), ",", -1))).alias("_fields")
+    return (
+        lines.where(F.length(F.trim("value")) > 0)
+        .select("value", *keep, fields)
+        .select(
+            "value",
+            *keep,
+            *[
+                F.get("_fields", F.lit(LINE_FIELDS.index(f.name)))
+                .try_cast(f.dataType)
+                .alias(f.name)
+                for f in EVENT_SCHEMA
+            ],
+        )
+    )
 
 
 def _complete() -> Column:

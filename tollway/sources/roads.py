@@ -44,10 +44,8 @@ def _numbered(events: DataFrame) -> DataFrame:
     """Events with `n`, their zero-based place among the user's events, and `last`."""
     ones = events.select("user_id", "ts", "event_id", "event_type", F.lit(1).alias("one"))
     columns = ["ts", "event_id", "event_type", "one"]
-    minute = F.date_trunc("minute", F.col("ts"))
-    up = running(
-        ones, ["user_id"], minute, [F.col(c) for c in columns], sums={"place": "one"}
-    )
+    minute = "date_trunc('minute', ts)"
+    up = running(ones, ["user_id"], minute, columns, sums={"place": "one"})
     count = events.groupBy("user_id").agg(
         F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.lit(True).alias("last")
     )
