@@ -15,7 +15,7 @@ def make_session(master: str = "local[8]") -> SparkSession:
     from tollway.session import with_settings
 
     spark = (
-        with_settings(SparkSession.builder.master(master), 8)
+        with_settings(SparkSession.builder.master(master), 4)
         .appName("tollway-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

@@ -245,6 +245,16 @@ def test_one_vehicle_with_a_third_of_all_reports(spark):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
 
 
+def test_copies_do_not_count(spark):
+    """A report sent many times over is one report, not a standing vehicle."""
+    events = random_traffic(7, vehicles=30, steps=8)
+    copied = [*events, *[events[5]] * 300, *events[:40]]
+    once, many = _path(spark, events), _path(spark, copied)
+    for name in ("state", "tolls", "balances"):
+        a, b = getattr(once, name), getattr(many, name)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
+
+
 def test_invariants(spark):
     path = _path(spark, random_traffic(3))
     assert path.tolls.count() == path.crossings.count()

@@ -5,14 +5,16 @@ from __future__ import annotations
 import pytest
 from compare import difference, duck
 from pyspark.sql import functions as F
-from traffic import as_frame, random_traffic, report
+from traffic import as_frame, random_traffic, report, request
 from walk import walk
 
+from tollway.app import answer_lines
 from tollway.operators.words import word_count, words
 from tollway.plans.stream_queries import stream_queries
 from tollway.schema import TOLL_HISTORY, Params
 from tollway.sources.lines import format_lines, parse_events, read_line_stream
 from tollway.streaming import live, replay, windows
+from tollway.streaming.live import start_answers
 
 
 @pytest.fixture(scope="module")
@@ -50,16 +52,21 @@ def test_answers_agree_with_a_walk_across_restarts(spark):
     assert got == set(want["balances"])
 
 
-def test_lines_carry_a_latency(spark):
-    events = random_traffic(6, vehicles=3, steps=5)
-    history = spark.createDataFrame([], TOLL_HISTORY)
-
-    def with_latency(e):
-        taken_in = e.withColumn("ingest_ms", F.unix_millis(F.current_timestamp()))
-        return live.line_stream(live.answer_stream(taken_in, history))
-
-    rows = [r.value.split(",") for r in _replay(spark, events, with_latency, 1).collect()]
-    assert rows and all(0 <= int(r[3 if r[0] == "0" else 2]) < 600_000 for r in rows)
+def test_application_from_lines_to_lines(spark, tmp_path):
+    """The application's query on files, with the time each line was taken in."""
+    events = [*random_traffic(6, vehicles=3, steps=5), request(3, 9, 0, 0, "day", 2)]
+    history = spark.createDataFrame([(0, 2, 0, 77)], TOLL_HISTORY)
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    format_lines(as_frame(spark, events)).write.text(inbox)
+    lines = read_line_stream(spark, "text", path=inbox)
+    taken_in = lines.withColumn("timestamp", F.current_timestamp())
+    start_answers(
+        answer_lines(taken_in, history), checkpoint, "text", {"availableNow": True}, path=out
+    ).awaitTermination()
+    rows = [r.value.split(",") for r in spark.read.text(out).collect()]
+    assert {r[0] for r in rows} >= {"0", "3"}
+    assert all(0 <= int(r[3 if r[0] == "0" else 2]) < 600_000 for r in rows)
+    assert [(r[1], *r[3:]) for r in rows if r[0] == "3"] == [("9", "day", "77")]
 
 
 def test_trips_split_at_gaps_and_open_ones_wait(spark):
@@ -77,7 +84,7 @@ def test_late_reports_are_dropped(spark, tmp_path):
     for batch in (early, late):
         format_lines(as_frame(spark, batch)).coalesce(1).write.mode("append").text(inbox)
         events = parse_events(read_line_stream(spark, "text", path=inbox))
-        query = live.start_answers(
+        query = start_answers(
             windows.report_count_stream(events, 60),
             checkpoint,
             "parquet",
@@ -102,6 +109,17 @@ def test_running_word_count(spark, tmp_path):
     assert [r["count"] for r in totals] == [1, 2, 2, 3]
 
 
+def test_update_mode_tells_what_changed(spark, tmp_path):
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for batch in ("a b c", "a e"):
+        spark.createDataFrame([(batch,)], "value string").write.mode("append").text(inbox)
+        texts = read_line_stream(spark, "text", path=inbox).withColumnRenamed("value", "text")
+        counts = word_count(words(texts))
+        replay.batches(counts, checkpoint, out, "update").awaitTermination()
+    rows = spark.read.parquet(out).where("batch_id = 1").collect()
+    assert sorted((r.word, r["count"]) for r in rows) == [("a", 2), ("e", 1)]
+
+
 def test_one_file_at_a_time(spark, tmp_path):
     """A queue of batches: one per trigger, or all pending ones together."""
     inbox = str(tmp_path / "in")

@@ -15,6 +15,7 @@ from tollway.operators import tolls as tol
 from tollway.operators import vehicles as veh
 from tollway.operators.ordered import time_piece
 from tollway.schema import Params
+from tollway.sources.lines import distinct_events
 from tollway.sources.workdir import written
 
 
@@ -32,6 +33,8 @@ class LivePath:
     unless `write_steps` is set: each step is then written to the shared folder where it is
     first used, and read from there. That is the default for a recording so long that groups
     are cut, as each cut reads its input twice.
+
+    Copies of events are dropped first, unless the source is known to have none.
     """
 
     def __init__(
@@ -40,8 +43,9 @@ class LivePath:
         history: DataFrame,
         params: Params = Params(),
         write_steps: bool | None = None,
+        has_copies: bool = True,
     ):
-        self.events = events
+        self.events = distinct_events(events) if has_copies else events
         self.history = history
         self.params = params
         self.write_steps = time_piece(params) is not None if write_steps is None else write_steps

@@ -32,7 +32,9 @@ def live_path(spark: SparkSession, sf_dir: str) -> LivePath:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _params:
         _params[key] = measured(events)
-    return LivePath(events, roads.road_history(spark, sf_dir), _params[key])
+    history = roads.road_history(spark, sf_dir)
+    # the projection numbers a user's events, so no two reports of theirs have one time
+    return LivePath(events, history, _params[key], has_copies=False)
 
 
 def _on_lines(name: str, build: Callable[[DataFrame], DataFrame]) -> None:

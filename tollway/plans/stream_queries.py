@@ -14,7 +14,8 @@ from tollway.sources.lines import format_lines
 from tollway.sources.workdir import new_folder
 from tollway.streaming import live, replay, windows
 
-SLICES = 2
+# A micro-batch takes in one slice; there are as many as keep it within this size.
+EVENTS_PER_SLICE = 200_000_000
 # Seconds the watermark lags behind the newest report.
 DELAY = 60
 
@@ -25,23 +26,29 @@ def stream_queries() -> dict[str, Query]:
     return dict(_queries)
 
 
+def _slices(events: DataFrame) -> int:
+    return max(2, -(-events.count() // EVENTS_PER_SLICE))
+
+
 def _over_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     """Register `build(event stream, toll history)`, fed with the road events as lines."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = live_path(spark, sf_dir)
-        sliced = replay.by_time(format_lines(path.events), path.params.horizon, SLICES)
-        return replay.replayed(spark, sliced, SLICES, lambda e: build(e, path.history), name)
+        slices = _slices(path.events)
+        sliced = replay.by_time(format_lines(path.events), path.params.horizon, slices)
+        return replay.replayed(spark, sliced, slices, lambda e: build(e, path.history), name)
 
     _queries[name] = query
 
 
 def _source_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines, bad ones included, through the source and the parser."""
-    horizon = live_path(spark, sf_dir).params.horizon
-    sliced = replay.by_time(roads.road_lines(spark, sf_dir), horizon, SLICES)
+    path = live_path(spark, sf_dir)
+    slices = _slices(path.events)
+    sliced = replay.by_time(roads.road_lines(spark, sf_dir), path.params.horizon, slices)
     return replay.replayed(
-        spark, sliced, SLICES, lambda events: events.drop("ingest_ms"), "stream_source_replay"
+        spark, sliced, slices, lambda events: events.drop("ingest_ms"), "stream_source_replay"
     )
 
 

@@ -16,9 +16,10 @@ def read_toll_history(spark: SparkSession, path: str) -> DataFrame:
 def tolls_by_vehicle(history: DataFrame) -> DataFrame:
     """Each vehicle's tolls on an expressway in day order, as `day:toll` joined by commas.
 
-    The history holds one row per (vid, xway, day), so a list is as long as the days kept.
+    The history holds one row per (vid, xway, day), so a list is as long as the days kept;
+    copies of a row, should there be any, are merged on the map side.
     """
-    days = F.sort_array(F.collect_list(F.struct("day", "toll")))
+    days = F.sort_array(F.collect_set(F.struct("day", "toll")))
     return (
         history.groupBy("vid", "xway")
         .agg(days.alias("_days"))

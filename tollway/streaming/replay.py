@@ -24,6 +24,10 @@ def by_time(lines: DataFrame, horizon: int, slices: int) -> DataFrame:
     return lines.select("value", at.alias("slice"))
 
 
+# Files a slice is spread over, so that no slice is written by one task.
+FILES_PER_SLICE = 32
+
+
 def run_slices(
     spark: SparkSession,
     sliced: DataFrame,
@@ -31,10 +35,18 @@ def run_slices(
     start: Callable[[DataFrame, str], object],
     name: str,
 ) -> None:
-    """Run `start(line stream, checkpoint)` to the end of each slice in turn."""
-    inbox, checkpoint = new_folder(spark, f"{name}-in"), new_folder(spark, f"{name}-state")
+    """Run `start(line stream, checkpoint)` to the end of each slice in turn.
+
+    The lines are laid out by slice first, so that each of them is read once more only.
+    """
+    staged, inbox, checkpoint = (
+        new_folder(spark, f"{name}-{part}") for part in ("staged", "in", "state")
+    )
+    spread = F.pmod(F.xxhash64("value"), F.lit(FILES_PER_SLICE))
+    sliced.repartition("slice", spread).write.partitionBy("slice").text(staged)
     for i in range(slices):
-        sliced.where(F.col("slice") == i).select("value").write.mode("append").text(inbox)
+        part = spark.read.schema("value string, slice bigint").text(staged)
+        part.where(F.col("slice") == i).select("value").write.mode("append").text(inbox)
         with rocksdb_state(spark):
             start(read_line_stream(spark, "text", path=inbox), checkpoint).awaitTermination()
 

@@ -7,8 +7,6 @@ the package; the rules it needs come in as plain numbers.
 
 from __future__ import annotations
 
-from itertools import groupby
-
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -45,7 +43,12 @@ class VehicleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         last = self.last.get()
-        for r in sorted(rows, key=lambda r: (r.time, r.speed, r.lane, r.segment, r.position)):
+        reports = {}  # one a second; of differing copies the smallest, whatever the order
+        for r in rows:
+            rank = (r.speed, r.lane, r.segment, r.position)
+            if r.time not in reports or rank < reports[r.time][0]:
+                reports[r.time] = (rank, r)
+        for _, (_, r) in sorted(reports.items(), key=lambda item: item[0]):
             if last is not None and r.time <= last[0]:
                 continue  # a copy, or a report overtaken by a later one
             time, position, lane, segment, counter = last or (None, 0, 0, 0, 0)
@@ -87,7 +90,8 @@ class SegmentProcessor(StatefulProcessor):
     """Per (xway, dir, segment): sums of the last minutes, and accidents by distance ahead.
 
     Rows are reports of the segment, or stops that begin and end up to a few segments ahead
-    (`delta` 1 and -1, with `distance`).
+    (`delta` 1 and -1, with `distance`). An answer depends on the minute alone, so of the
+    reports only those that ask are kept until the micro-batch's sums are complete.
     """
 
     def __init__(self, lav_minutes: int, crash_vehicles: int):
@@ -106,72 +110,85 @@ class SegmentProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         xway, direction, segment = key
         sums = {k[0]: tuple(v) for k, v in self.sums.iterator()}
-        ahead = {k[0]: tuple(v) for k, v in self.ahead.iterator()}
-        old_sums, old_ahead = dict(sums), dict(ahead)
-        answers = []
-        latest = max(sums, default=0)
-
-        for time, same_time in groupby(sorted(rows, key=lambda r: r.time), key=lambda r: r.time):
-            minute = time // 60 + 1
-            latest = max(latest, minute)
-            reports, deltas = [], {}
-            for r in same_time:
-                if r.delta:
-                    deltas[r.distance] = deltas.get(r.distance, 0) + r.delta
-                else:
-                    reports.append(r)
-            for distance, delta in deltas.items():
-                standing, since, began, cleared = ahead.get(distance, (0, None, None, None))
-                standing += delta
-                if since is None and standing >= self.crash_vehicles:
-                    since = minute
-                elif since is not None and standing < self.crash_vehicles:
-                    if since < minute:  # it was in force for at least this minute
-                        began, cleared = since, minute
-                    since = None
-                ahead[distance] = (standing, since, began, cleared)
-            for r in reports:
-                speed, count, nov = sums.get(minute, (0, 0, 0))
-                sums[minute] = (speed + r.speed, count + 1, nov + int(r.new_minute))
-                if r.asks:
-                    answers.append((r, minute, self._nearest(ahead, minute)))
-
-        for r, minute, distance in answers:
-            span = [sums[m] for m in range(minute - self.lav_minutes, minute) if m in sums]
-            speed, count = sum(s[0] for s in span), sum(s[1] for s in span)
-            step = 1 if direction == 0 else -1
+        kept = set(sums)
+        asking, changes, touched = [], {}, set()
+        for r in rows:
+            if r.delta:
+                at = (r.distance, r.time)
+                changes[at] = changes.get(at, 0) + r.delta
+                continue
+            minute = r.time // 60 + 1
+            speed, count, nov = sums.get(minute, (0, 0, 0))
+            sums[minute] = (speed + r.speed, count + 1, nov + int(r.new_minute))
+            touched.add(minute)
+            if r.asks:
+                asking.append((minute, r.vid, r.time, r.ingest_ms))
+
+        in_force = self._accidents(changes)
+        found = {}
+        step = 1 if direction == 0 else -1
+        for minute, vid, time, ingest_ms in asking:
+            if minute not in found:
+                ahead = [d for d, spans in in_force.items() if self._covers(spans, minute)]
+                found[minute] = (
+                    *self._traffic(sums, minute),
+                    segment + step * min(ahead) if ahead else -1,
+                )
+            lav, nov, accident = found[minute]
             yield Row(
-                vid=r.vid,
-                time=r.time,
+                vid=vid,
+                time=time,
                 xway=xway,
                 dir=direction,
                 segment=segment,
-                lav=(2 * speed + count) // (2 * count) if count else 0,
-                nov=sums.get(minute - 1, (0, 0, 0))[2],
-                accident_segment=-1 if distance is None else segment + step * distance,
-                ingest_ms=r.ingest_ms,
+                lav=lav,
+                nov=nov,
+                accident_segment=accident,
+                ingest_ms=ingest_ms,
             )
 
-        for m, v in sums.items():
-            if m < latest - self.lav_minutes:
-                if m in old_sums:
-                    self.sums.removeKey((m,))
-            elif old_sums.get(m) != v:
-                self.sums.updateValue((m,), v)
-        for d, v in ahead.items():
-            if old_ahead.get(d) != v:
-                self.ahead.updateValue((d,), v)
+        oldest = max(sums, default=0) - self.lav_minutes
+        for m in kept:
+            if m < oldest:
+                self.sums.removeKey((m,))
+        for m in touched:
+            if m >= oldest:
+                self.sums.updateValue((m,), sums[m])
+
+    def _traffic(self, sums, minute):
+        """Mean speed of the minutes before, rounded half up, and vehicles of the last one."""
+        span = [sums[m] for m in range(minute - self.lav_minutes, minute) if m in sums]
+        speed, count = sum(s[0] for s in span), sum(s[1] for s in span)
+        lav = (2 * speed + count) // (2 * count) if count else 0
+        return lav, sums.get(minute - 1, (0, 0, 0))[2]
+
+    def _accidents(self, changes):
+        """Bring the accidents ahead up to date; their (began, cleared) minutes by distance."""
+        ahead = {k[0]: tuple(v) for k, v in self.ahead.iterator()}
+        in_force = {d: [(began, cleared)] for d, (_, _, began, cleared) in ahead.items() if cleared}
+        for (distance, time), delta in sorted(changes.items()):
+            standing, since, began, cleared = ahead.get(distance, (0, None, None, None))
+            standing, minute = standing + delta, time // 60 + 1
+            if since is None and standing >= self.crash_vehicles:
+                since = minute
+            elif since is not None and standing < self.crash_vehicles:
+                if since < minute:  # it was in force for at least this minute
+                    began, cleared = since, minute
+                    in_force.setdefault(distance, []).append((began, cleared))
+                since = None
+            ahead[distance] = (standing, since, began, cleared)
+        for distance in {d for d, _ in changes}:
+            self.ahead.updateValue((distance,), ahead[distance])
+        for distance, (_, since, _, _) in ahead.items():
+            if since is not None:
+                in_force.setdefault(distance, []).append((since, None))
+        return in_force
 
     @staticmethod
-    def _nearest(ahead, minute):
-        """Distance of the nearest accident in force in `minute`."""
-        for distance in sorted(ahead):
-            _, since, began, cleared = ahead[distance]
-            if since is not None and minute > since:
-                return distance
-            if cleared is not None and began < minute <= cleared:
-                return distance
-        return None
+    def _covers(spans, minute):
+        return any(
+            minute > began and (cleared is None or minute <= cleared) for began, cleared in spans
+        )
 
     def close(self) -> None:
         pass
