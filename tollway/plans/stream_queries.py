@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.operators.words import word_count, words
+from tollway.plans.live import LivePath
 from tollway.plans.queries import Query, live_path
 from tollway.sources import roads
 from tollway.sources.lines import format_lines
 from tollway.sources.workdir import new_folder
 from tollway.streaming import live, replay, windows
 
-# A micro-batch takes in one slice; there are as many as keep it within this size.
+# A micro-batch takes in one slice; there are as many as keep it within this size. State is
+# spread so that a task handles about so many of its events.
 EVENTS_PER_SLICE = 200_000_000
+EVENTS_PER_TASK = 100_000
 # Seconds the watermark lags behind the newest report.
 DELAY = 60
 
@@ -26,8 +29,15 @@ def stream_queries() -> dict[str, Query]:
     return dict(_queries)
 
 
-def _slices(events: DataFrame) -> int:
-    return max(2, -(-events.count() // EVENTS_PER_SLICE))
+def _replayed(
+    path: LivePath, lines: DataFrame, build: Callable[[DataFrame], DataFrame], name: str
+) -> DataFrame:
+    spark, events = lines.sparkSession, path.events.count()
+    slices = max(2, -(-events // EVENTS_PER_SLICE))
+    tasks = max(spark.sparkContext.defaultParallelism, events // slices // EVENTS_PER_TASK)
+    partitions = min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sliced = replay.by_time(lines, path.params.horizon, slices)
+    return replay.replayed(spark, sliced, slices, build, name, partitions)
 
 
 def _over_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
@@ -35,20 +45,16 @@ def _over_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame])
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = live_path(spark, sf_dir)
-        slices = _slices(path.events)
-        sliced = replay.by_time(format_lines(path.events), path.params.horizon, slices)
-        return replay.replayed(spark, sliced, slices, lambda e: build(e, path.history), name)
+        return _replayed(path, format_lines(path.events), lambda e: build(e, path.history), name)
 
     _queries[name] = query
 
 
 def _source_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines, bad ones included, through the source and the parser."""
-    path = live_path(spark, sf_dir)
-    slices = _slices(path.events)
-    sliced = replay.by_time(roads.road_lines(spark, sf_dir), path.params.horizon, slices)
-    return replay.replayed(
-        spark, sliced, slices, lambda events: events.drop("ingest_ms"), "stream_source_replay"
+    lines = roads.road_lines(spark, sf_dir)
+    return _replayed(
+        live_path(spark, sf_dir), lines, lambda e: e.drop("ingest_ms"), "stream_source_replay"
     )
 
 

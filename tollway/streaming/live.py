@@ -40,10 +40,17 @@ _STATE_CONF = {
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Start queries with the state store that keyed processors need."""
-    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
-    for k, v in _STATE_CONF.items():
+def stream_settings(spark: SparkSession, partitions: int | None = None):
+    """Start queries with the state store that keyed processors need.
+
+    A stateful query keeps for good the number of shuffle partitions it is first started
+    with, and adaptive execution does not merge them; `partitions` sets it.
+    """
+    conf = dict(_STATE_CONF)
+    if partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -185,5 +192,5 @@ def start_answers(
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "2 seconds"}))
     )
-    with rocksdb_state(lines.sparkSession):
+    with stream_settings(lines.sparkSession):
         return writer.options(**options).start()

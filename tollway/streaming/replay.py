@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tollway.functions import whole_div
 from tollway.sources.lines import parse_events, read_line_stream
 from tollway.sources.workdir import new_folder
-from tollway.streaming.live import rocksdb_state
+from tollway.streaming.live import stream_settings
 
 
 def by_time(lines: DataFrame, horizon: int, slices: int) -> DataFrame:
@@ -34,6 +34,7 @@ def run_slices(
     slices: int,
     start: Callable[[DataFrame, str], object],
     name: str,
+    partitions: int | None = None,
 ) -> None:
     """Run `start(line stream, checkpoint)` to the end of each slice in turn.
 
@@ -47,7 +48,7 @@ def run_slices(
     for i in range(slices):
         part = spark.read.schema("value string, slice bigint").text(staged)
         part.where(F.col("slice") == i).select("value").write.mode("append").text(inbox)
-        with rocksdb_state(spark):
+        with stream_settings(spark, partitions):
             start(read_line_stream(spark, "text", path=inbox), checkpoint).awaitTermination()
 
 
@@ -57,6 +58,7 @@ def replayed(
     slices: int,
     build: Callable[[DataFrame], DataFrame],
     name: str,
+    partitions: int | None = None,
 ) -> DataFrame:
     """What `build(event stream)` appends while the slices are fed to it, as a table."""
     out = new_folder(spark, f"{name}-out")
@@ -74,12 +76,16 @@ def replayed(
             .start()
         )
 
-    run_slices(spark, sliced, slices, start, name)
+    run_slices(spark, sliced, slices, start, name, partitions)
     return spark.read.schema(schema[0]).parquet(out)
 
 
 def batches(
-    totals: DataFrame, checkpoint: str, out: str, mode: str = "complete"
+    totals: DataFrame,
+    checkpoint: str,
+    out: str,
+    mode: str = "complete",
+    partitions: int | None = None,
 ):
     """Run `totals` over all available input, keeping each micro-batch's result apart.
 
@@ -90,10 +96,11 @@ def batches(
     def keep(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return (
-        totals.writeStream.outputMode(mode)
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with stream_settings(totals.sparkSession, partitions):
+        return (
+            totals.writeStream.outputMode(mode)
+            .foreachBatch(keep)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
