@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 
 import tollway.plans.queries as q
+from tollway.operators.ordered import running, time_piece
+from tollway.operators.vehicles import vehicle_state
 
 
 def _plan(df) -> str:
@@ -44,6 +47,25 @@ def test_vehicle_state_is_shuffled_once(spark, sf_dir):
     assert sum("ReusedExchange" in line for line in lines) == 2
 
 
+def test_cut_groups_are_shuffled_once(spark, sf_dir):
+    """The rows and what is carried between their pieces come from one shuffle."""
+    path = q.live_path(spark, sf_dir)
+    long = replace(path.params, horizon=None, piece_seconds=100)
+    piece = r"Exchange hashpartitioning\([^)]*_piece#\d+"
+    tolls = path.tolls.select("vid", "xway", "time", "toll")
+    for df in (
+        vehicle_state(path.reports, long),
+        running(tolls, ["vid", "xway"], time_piece(long), ["time", "toll"], {"told": "toll"}),
+    ):
+        lines = [
+            line
+            for line in _final_plan(df).split("== Initial Plan ==")[0].splitlines()
+            if re.search(piece, line)
+        ]
+        wide = [line for line in lines if "ReusedExchange" not in line]
+        assert len(lines) >= 2 and len(lines) - len(wide) >= 1
+
+
 def test_statistics_are_summed_before_the_shuffle(spark, sf_dir):
     plan = _plan(q.batch_queries()["segment_minute_stats"](spark, sf_dir))
     assert plan.index("functions=[sum(") < plan.index("hashpartitioning") < plan.index("partial_sum(")

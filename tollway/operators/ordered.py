@@ -9,8 +9,9 @@ window runs over (group, piece). What a piece needs from the pieces before it is
 last few rows, or a running total. It is taken from the tail rows of each piece, walked over
 the pieces of the group (one row or a few per piece), and joined back on (group, piece).
 Both branches read the same shuffle of (group, piece). Spark reuses that exchange when both
-need the same columns, which is why callers order by all columns they keep: the order is
-then total, too, and a retried task sees the same rows in the same places.
+need the same columns and filters. That is why callers order by all columns they keep (the
+order is then total, too, and a retried task sees the same rows in the same places) and why
+the filters the join would put on one branch, that keys are not null, are put on both.
 """
 
 from __future__ import annotations
@@ -28,20 +29,26 @@ def time_piece(params: Params) -> str | None:
     """Pieces along `time`; None where one piece is known to hold the whole recording."""
     if params.horizon is not None and params.horizon < params.piece_seconds:
         return None
-    return f"time div {params.piece_seconds}"
+    return f"coalesce(time div {params.piece_seconds}, 0)"
 
 
 def minute_piece(params: Params) -> str | None:
     """Pieces along `minute`, likewise."""
     if params.horizon is not None and params.horizon // 60 + 1 < params.piece_minutes:
         return None
-    return f"minute div {params.piece_minutes}"
+    return f"coalesce(minute div {params.piece_minutes}, 0)"
 
 
 def _over(keys: Sequence[str], order: Sequence[str], frame: str = "") -> str:
     return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)} {frame})"
 
 
+def _cut(df: DataFrame, keys: Sequence[str], piece: str) -> DataFrame:
+    """`df` with its piece. Keys are never null; saying so keeps both branches alike."""
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return df.where(known).selectExpr("*", f"{piece} AS {PIECE}")
+
+
 _UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
@@ -65,7 +72,7 @@ def with_previous(
 
     part = [*keys, PIECE]
     here = _over(part, order)
-    cut = df.selectExpr("*", f"{piece} AS {PIECE}")
+    cut = _cut(df, keys, piece)
     inside = cut.selectExpr(
         "*", f"row_number() {here} AS _rn", *[f"lag({f}, {k}) {here} AS _{f}_{k}" for f, k in back]
     )
@@ -117,7 +124,7 @@ def running(
 
     part = [*keys, PIECE]
     upto = _over(part, order, _UP_TO_HERE)
-    inside = df.selectExpr("*", f"{piece} AS {PIECE}").selectExpr(
+    inside = _cut(df, keys, piece).selectExpr(
         "*",
         *[f"sum({c}) {upto} AS _{n}" for n, c in sums.items()],
         *[f"last({c}) IGNORE NULLS {upto} AS _{n}" for n, c in lasts.items()],

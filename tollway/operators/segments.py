@@ -56,22 +56,19 @@ def segment_context(
     """What a report finds in its segment and minute: `nov`, `lav` and the accident ahead.
 
     The statistics and the edges of accidents are laid over each other, one row per segment
-    and minute, and swept together; `accident_segment` is -1 where nothing is ahead.
+    and minute, and swept together; `accident_segment` is -1 where nothing is ahead. Minutes
+    that have an edge and no report are in it, too; no report looks them up.
     """
     ahead, counts = ahead_columns(params), ["speed_sum", "reports", "nov"]
-    zero = F.lit(0).cast("bigint")
-    edges = accident_edges(by_segment, params).select(
-        *SEGMENT_MINUTE, *[zero.alias(c) for c in counts], *[F.col(c).cast("bigint") for c in ahead]
+    own = stats.selectExpr(*SEGMENT_MINUTE, *counts, *[f"0 AS {c}" for c in ahead])
+    edges = accident_edges(by_segment, params).selectExpr(
+        *SEGMENT_MINUTE, *[f"0L AS {c}" for c in counts], *ahead
     )
-    own = stats.select(*SEGMENT_MINUTE, *counts, *[zero.alias(c) for c in ahead])
-    laid = own.unionByName(edges).groupBy(*SEGMENT_MINUTE)
-    summed = laid.agg(*[F.sum(c).alias(c) for c in [*counts, *ahead]], F.max("reports").alias("asked"))
+    sums = [F.sum(c).alias(c) for c in [*counts, *ahead]]
+    summed = own.unionByName(edges).groupBy(*SEGMENT_MINUTE).agg(*sums)
     swept = accidents_in_force(_conditions(summed, params), params)
-    return swept.where(F.col("asked") > 0).select(
-        *SEGMENT_MINUTE,
-        "nov",
-        "lav",
-        F.coalesce("accident_segment", F.lit(-1)).alias("accident_segment"),
+    return swept.selectExpr(
+        *SEGMENT_MINUTE, "nov", "lav", "coalesce(accident_segment, -1) AS accident_segment"
     )
 
 
@@ -108,7 +105,7 @@ def segment_minute_report_count(reports: DataFrame) -> DataFrame:
 def _arrival(params: Params) -> str:
     """Pieces of one second of a segment: at most `piece_vehicles` rows, as each vehicle
     reports once a second."""
-    return f"struct(time, vid div {params.piece_vehicles} AS vehicles)"
+    return f"struct(time, coalesce(vid div {params.piece_vehicles}, 0) AS vehicles)"
 
 
 def running_speed_sum(reports: DataFrame, params: Params = Params()) -> DataFrame:

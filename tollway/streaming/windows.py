@@ -5,7 +5,7 @@ Append mode tells a window once, when the watermark has passed its end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.functions import minute_of
@@ -20,7 +20,7 @@ def timed_reports(events: DataFrame, delay_seconds: int) -> DataFrame:
     return reports.withWatermark("event_ts", f"{delay_seconds} seconds")
 
 
-def _seconds(ts) -> F.Column:
+def _seconds(ts: Column) -> Column:
     """A timestamp on the event clock, in seconds since its start."""
     return F.unix_seconds(ts) - CLOCK_START
 
