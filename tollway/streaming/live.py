@@ -18,6 +18,7 @@ from tollway.operators import reports as rep
 from tollway.operators.tolls import daily_expenditure, notification_line
 from tollway.operators.vehicles import VEHICLE
 from tollway.schema import (
+    ACCOUNT_BALANCE,
     DAILY_EXPENDITURE,
     EXIT_LANE,
     POSITION_REPORT,
@@ -119,12 +120,14 @@ def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFra
 
 
 def account_stream(tolls: DataFrame, requests: DataFrame) -> DataFrame:
-    """Toll, alert and balance messages for streams of tolls and balance requests."""
-    wanted = ["vid", "xway", "time", "dir", "lav", "toll", "accident_segment", "qid", "ingest_ms"]
-    told = tolls.withColumn("qid", F.lit(None).cast("string")).select(*wanted)
-    asked = requests.select("vid", "xway", "time", "qid", "ingest_ms")
+    """Toll, alert and balance messages for streams of tolls and requests.
+
+    Requests for a day's expenditure pass through; they come with their answer as `toll`.
+    """
+    wanted = ["vid", "xway", "time", "dir", "lav", "toll", "accident_segment", "ingest_ms"]
+    told = tolls.select(F.lit(POSITION_REPORT).alias("typ"), *wanted)
     return (
-        told.unionByName(asked, allowMissingColumns=True)
+        told.unionByName(requests, allowMissingColumns=True)
         .groupBy("vid", "xway")
         .transformWithState(
             statefulProcessor=state.AccountProcessor(),
@@ -136,31 +139,33 @@ def account_stream(tolls: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def daily_expenditure_stream(events: DataFrame, history: DataFrame) -> DataFrame:
-    """Type-3 answers: each request joined with the static toll history."""
-    return daily_expenditure(
-        rep.expenditure_requests(events.where(F.col("typ") == DAILY_EXPENDITURE)), history
-    )
+    """Answers to requests for a day's expenditure, from the static toll history."""
+    return daily_expenditure(rep.expenditure_requests(events), history)
 
 
 def balance_request_stream(events: DataFrame) -> DataFrame:
-    return events.where(F.col("typ") == 2).select("vid", "time", "xway", "qid", "ingest_ms")
+    return events.where(F.col("typ") == ACCOUNT_BALANCE).select(
+        "typ", "vid", "time", "xway", "qid", "ingest_ms"
+    )
 
 
 def answer_stream(events: DataFrame, history: DataFrame, params: Params = Params()) -> DataFrame:
-    """Every answer to a stream of events, as in `all_notifications`, with `ingest_ms`."""
+    """Every answer to a stream of events, as in `all_notifications`, with `ingest_ms`.
+
+    The source is read by two branches, reports and requests. Balance requests ask for no
+    day, so the join with the history leaves them as they are.
+    """
     tolls = toll_stream(vehicle_state_stream(events, params), params)
-    accounts = account_stream(tolls, balance_request_stream(events))
-    requests = events.where(F.col("typ") == DAILY_EXPENDITURE)
-    daily = requests.join(history, ["vid", "xway", "day"], "left").select(
-        F.lit(DAILY_EXPENDITURE).alias("typ"),
-        "vid",
-        "time",
-        "xway",
-        "qid",
-        F.col("toll").cast("bigint").alias("toll"),
-        "ingest_ms",
+    asked_day = F.when(F.col("typ") == DAILY_EXPENDITURE, F.col("day"))
+    requests = (
+        events.where(F.col("typ").isin(ACCOUNT_BALANCE, DAILY_EXPENDITURE))
+        .withColumn("day", asked_day)
+        .join(history, ["vid", "xway", "day"], "left")
+        .select(
+            "typ", "vid", "time", "xway", "qid", F.col("toll").cast("bigint").alias("toll"), "ingest_ms"
+        )
     )
-    return accounts.unionByName(daily, allowMissingColumns=True)
+    return account_stream(tolls, requests)
 
 
 def line_stream(answers: DataFrame, with_latency: bool = True) -> DataFrame:

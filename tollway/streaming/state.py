@@ -195,7 +195,11 @@ class SegmentProcessor(StatefulProcessor):
 
 
 class AccountProcessor(StatefulProcessor):
-    """Per (vid, xway): the sum of the tolls told and the last one, which is not yet due."""
+    """Per (vid, xway): the sum of the tolls told and the last one, which is not yet due.
+
+    Rows are tolls (`typ` 0), balance requests (2), and requests for a day's expenditure (3),
+    which bring their answer with them in `toll`.
+    """
 
     def init(self, handle) -> None:
         self.account = handle.getValueState("account", "told bigint, latest bigint")
@@ -212,14 +216,16 @@ class AccountProcessor(StatefulProcessor):
             return Row(**row, ingest_ms=r.ingest_ms)
 
         # a toll told in the second of a request counts as told
-        for r in sorted(rows, key=lambda r: (r.time, r.qid is not None, r.qid or "")):
-            if r.qid is not None:
+        for r in sorted(rows, key=lambda r: (r.time, r.typ)):
+            if r.typ == 3:
+                yield answer(r, 3, qid=r.qid, toll=r.toll)
+            elif r.typ == 2:
                 yield answer(r, 2, qid=r.qid, balance=told - latest)
-                continue
-            told, latest, changed = told + r.toll, r.toll, True
-            yield answer(r, 0, lav=r.lav, toll=r.toll)
-            if r.accident_segment != -1:
-                yield answer(r, 1, dir=r.dir, accident_segment=r.accident_segment)
+            else:
+                told, latest, changed = told + r.toll, r.toll, True
+                yield answer(r, 0, lav=r.lav, toll=r.toll)
+                if r.accident_segment != -1:
+                    yield answer(r, 1, dir=r.dir, accident_segment=r.accident_segment)
         if changed:
             self.account.update((told, latest))
 
