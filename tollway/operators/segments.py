@@ -156,7 +156,9 @@ def single_report_segments(events: DataFrame) -> DataFrame:
     return counted.where(F.col("reports") == 1)
 
 
-def segment_tolls(stats: DataFrame, accident_minutes: DataFrame, params: Params = Params()) -> DataFrame:
+def segment_tolls(
+    stats: DataFrame, accident_minutes: DataFrame, params: Params = Params()
+) -> DataFrame:
     """Each segment and minute with the statistics and toll of the minute before.
 
     The toll goes by the minute's own mean speed and number of reports. Where the minute

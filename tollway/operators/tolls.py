@@ -30,7 +30,8 @@ def toll_notifications(
     """The toll of every chargeable crossing, told on entering the segment."""
     toll = toll_amount("lav", "nov", F.col("accident_segment") != -1, params)
     return crossings.join(context, SEGMENT_MINUTE).select(
-        "vid", "time", "xway", "dir", "segment", "lav", "nov", "accident_segment", toll.alias("toll")
+        *["vid", "time", "xway", "dir", "segment", "lav", "nov", "accident_segment"],
+        toll.alias("toll"),
     )
 
 
@@ -49,7 +50,7 @@ def account_balance(tolls: DataFrame, requests: DataFrame, params: Params = Para
     asked = (
         requests.select(*account, "time")
         .distinct()
-        .select(*account, "time", F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("toll"))
+        .selectExpr(*account, "time", "true AS asks", "CAST(NULL AS bigint) AS toll")
     )
     run = running(
         told.unionByName(asked),
@@ -123,8 +124,10 @@ def notification_line(emit: Column | None = None) -> Column:
     typ = F.col("typ")
 
     def line(*fields: str) -> Column:
-        parts = [emit if f == "emit" else F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
-        return F.concat_ws(",", *[p for p in parts if p is not None])
+        parts = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields if f != "emit"}
+        if emit is not None:
+            parts["emit"] = emit
+        return F.concat_ws(",", *[parts[f] for f in fields if f in parts])
 
     return (
         F.when(typ == POSITION_REPORT, line("typ", "vid", "time", "emit", "lav", "toll"))

@@ -91,7 +91,8 @@ class LivePath:
 
     @cached_property
     def tolls(self) -> DataFrame:
-        return self._step(tol.toll_notifications(self.crossings, self.context, self.params), "tolls")
+        tolls = tol.toll_notifications(self.crossings, self.context, self.params)
+        return self._step(tolls, "tolls")
 
     @cached_property
     def alerts(self) -> DataFrame:

@@ -87,7 +87,10 @@ _on_path("stopped_at_place", lambda p: acc.stopped_at_place(p.state, p.stop_chan
 _on_path("accidents_by_segment", lambda p: p.accidents)
 _on_path("accidents_by_position", lambda p: acc.accidents_by_position(p.stop_changes, p.params))
 _on_path("accident_lookup", lambda p: acc.accident_lookup(p.state, p.accidents, p.params))
-_on_path("accident_lookup_lowest", lambda p: acc.accident_lookup_lowest(p.state, p.accidents, p.params))
+_on_path(
+    "accident_lookup_lowest",
+    lambda p: acc.accident_lookup_lowest(p.state, p.accidents, p.params),
+)
 _on_path("accident_alerts", lambda p: p.alerts)
 
 

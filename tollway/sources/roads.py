@@ -17,7 +17,6 @@ from tollway.schema import (
     DAILY_EXPENDITURE,
     EVENT_SCHEMA,
     POSITION_REPORT,
-    TOLL_HISTORY,
 )
 from tollway.sources import workdir
 from tollway.sources.history import read_toll_history
@@ -46,10 +45,9 @@ def _numbered(events: DataFrame) -> DataFrame:
     columns = ["ts", "event_id", "event_type", "one"]
     minute = "date_trunc('minute', ts)"
     up = running(ones, ["user_id"], minute, columns, sums={"place": "one"})
-    count = events.groupBy("user_id").agg(
-        F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.lit(True).alias("last")
-    )
-    return up.join(count, ["user_id", "event_id"], "left").select(
+    last = F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")
+    lasts = events.groupBy("user_id").agg(last, F.lit(True).alias("last"))
+    return up.join(lasts, ["user_id", "event_id"], "left").select(
         "user_id",
         "event_id",
         "event_type",
@@ -136,7 +134,7 @@ def project_history(events: DataFrame) -> DataFrame:
         .select("vid", days.alias("day"))
         .where((vid + day) % 23 != 0)
         .select("vid", "day", F.explode(F.array(F.lit(0), F.lit(1))).alias("xway"))
-        .select(*TOLL_HISTORY.fieldNames()[:3], ((vid * 31 + day * 17 + xway * 7) % 100).alias("toll"))
+        .select("vid", "day", "xway", ((vid * 31 + day * 17 + xway * 7) % 100).alias("toll"))
     )
 
 

@@ -102,11 +102,10 @@ def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFra
     )
     own = F.array(to_segment(F.col("segment"), none, None))
     rows = F.when(began | F.col("stop_ended"), F.concat(own, warned)).otherwise(own)
+    kept = ["vid", "time", "speed", "xway", "dir", "new_minute", "ingest_ms"]
     answers = (
-        vehicle_states.select(
-            "vid", "time", "speed", "xway", "dir", "new_minute", "ingest_ms", F.explode(rows).alias("r")
-        )
-        .select("vid", "time", "speed", "xway", "dir", "new_minute", "ingest_ms", "r.*")
+        vehicle_states.select(*kept, F.explode(rows).alias("r"))
+        .select(*kept, "r.*")
         .groupBy(*SEGMENT)
         .transformWithState(
             statefulProcessor=state.SegmentProcessor(params.lav_minutes, params.crash_vehicles),
@@ -161,9 +160,8 @@ def answer_stream(events: DataFrame, history: DataFrame, params: Params = Params
         events.where(F.col("typ").isin(ACCOUNT_BALANCE, DAILY_EXPENDITURE))
         .withColumn("day", asked_day)
         .join(history, ["vid", "xway", "day"], "left")
-        .select(
-            "typ", "vid", "time", "xway", "qid", F.col("toll").cast("bigint").alias("toll"), "ingest_ms"
-        )
+        .withColumn("toll", F.col("toll").cast("bigint"))
+        .select("typ", "vid", "time", "xway", "qid", "toll", "ingest_ms")
     )
     return account_stream(tolls, requests)
 

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.functions import whole_div
 from tollway.sources.lines import parse_events, read_line_stream
 from tollway.sources.workdir import new_folder
 from tollway.streaming.live import stream_settings
