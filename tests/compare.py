@@ -18,7 +18,8 @@ import __spark_entry__ as spark_entry  # noqa: E402
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for f in Path(sf_dir).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+        files = f if f.is_file() else f / "*.parquet"
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{files}'")
     return con
 
 
