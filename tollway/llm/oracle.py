@@ -38,6 +38,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM bits
 """
 
+# each kind: its pattern, the group whose length counts, and the length it needs
+_SECRETS = {
+    "assign": (
+        "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+        "|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+        """["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+    "private_key": ("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    "web_token": (
+        r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0,
+    ),
+}
+_HITS = " UNION ALL ".join(
+    f"""
+    SELECT r, {nr} AS nr, '{kind}' AS kind, {least} AS least, unnest(range(1, len(hits) + 1)) AS i,
+      hits[i] AS hit, values[i] AS value, gaps[i] AS gap
+    FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS hits,
+            regexp_extract_all(text, '{pattern}', {group}) AS values,
+            string_split_regex(text, '{pattern}') AS gaps
+          FROM t WHERE regexp_matches(text, '{pattern}'))
+    """
+    for nr, (kind, (pattern, group, least)) in enumerate(_SECRETS.items())
+)
+OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({_HITS}),
+spans AS (
+  SELECT *, ends - length(hit) AS starts FROM (
+    SELECT *, CAST(sum(length(gap) + length(hit))
+      OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS ends
+    FROM hits)
+  WHERE length(value) >= least
+), told AS (
+  SELECT r,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || starts || ':' || ends, ',' ORDER BY starts, nr) AS spans,
+    string_agg(kind || ':' || starts || ':' || ends, ',' ORDER BY starts, nr)
+      FILTER (nr < 3) AS base
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans
+FROM t LEFT JOIN told USING (r)
+"""
+
+# RE2 has no look-ahead: lines without a word are put behind the line before them
+OP8 = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM t WHERE text <> ''
+), units AS (
+  SELECT r, u, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS unit,
+    trim(arg_min(line, i)) AS line
+  FROM (SELECT *, sum(CASE WHEN i = 1 OR regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END)
+          OVER (PARTITION BY r ORDER BY i) AS u FROM raw)
+  GROUP BY r, u
+), w AS (
+  SELECT r, doc_id, u, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c
+  FROM units JOIN t USING (r) WINDOW o AS (PARTITION BY r ORDER BY u)
+), later AS (
+  SELECT r, u FROM w WHERE c IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, u) > 1
+), gone AS (SELECT DISTINCT r, u + k AS u FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+kept AS (
+  SELECT units.r, string_agg(unit, chr(10) ORDER BY units.u) FILTER (gone.u IS NULL) AS text,
+    count(*) AS n_lines, count(gone.u) AS n_removed
+  FROM units LEFT JOIN gone ON units.r = gone.r AND units.u = gone.u GROUP BY units.r
+)
+SELECT doc_id, coalesce(kept.text, '') AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_removed, 0) AS n_removed
+FROM t LEFT JOIN kept USING (r)
+"""
+
 
 def llm_oracle() -> dict[str, str]:
-    return {"op3_quality_rules": OP3}
+    return {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op8_line_dedup": OP8}

@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.llm import quality_rules
+from tollway.llm import line_dedup, quality_rules, secret_scan
 from tollway.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"), path_col="doc_id")
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    base = F.filter("spans", lambda s: s["rule"].isin(kinds))
+
+    def count(kind: str):
+        n = F.size(F.filter("spans", lambda s: s["rule"] == kind))
+        return n.cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id",
+        *[count(kind) for kind in kinds],
+        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+        secret_scan.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = quality_rules.fails(quality_rules.BASE)
@@ -29,7 +46,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
+        "op8_line_dedup": op8_line_dedup,
     }
