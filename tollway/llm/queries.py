@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.llm import line_dedup, quality_rules, secret_scan
+from tollway.llm import line_dedup, mixing, quality_rules, secret_scan
 from tollway.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(docs)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
         "op8_line_dedup": op8_line_dedup,
+        "op9_mixing": op9_mixing,
     }
