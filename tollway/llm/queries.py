@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.llm import line_dedup, mixing, quality_rules, secret_scan
+from tollway.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan
 from tollway.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_scan.scan(table(spark, sf_dir, "documents"), path_col="doc_id")
     kinds = [rule.kind for rule in secret_scan.BASE_RULES]
@@ -58,6 +64,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
         "op8_line_dedup": op8_line_dedup,
