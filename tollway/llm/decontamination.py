@@ -21,6 +21,7 @@ ignored by `find_leaks`. Without items, or without documents, nothing is found.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -249,7 +250,7 @@ def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str,
     for k in range(n):
         shard = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         sent = items.sparkSession.sparkContext.broadcast([tuple(r) for r in shard.collect()])
-        yield f"{sent.id}", sent
+        yield uuid.uuid4().hex, sent
 
 
 def find_leaks(
