@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan
+from tollway.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, secret_scan
 from tollway.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeats(docs)
@@ -67,6 +71,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
     }
