@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules, secret_scan
+from tollway.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_rules,
+    secret_scan,
+    token_counts,
+)
 from tollway.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +61,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language_id.remainder("doc_id") == 0, F.lit(False))
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeats(docs)
@@ -71,7 +94,9 @@ def llm_queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
+        "op5_token_counts": op5_token_counts,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
     }
