@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tollway.llm import (
     decontamination,
+    html_extraction,
     jaccard_join,
     language_id,
     line_dedup,
@@ -89,6 +90,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -99,4 +104,5 @@ def llm_queries() -> dict[str, Query]:
         "op7_language_id": op7_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
+        "op10_html_extraction": op10_html_extraction,
     }
