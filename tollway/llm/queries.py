@@ -16,6 +16,7 @@ from tollway.llm import (
     mixing,
     quality_rules,
     secret_scan,
+    suffix_dedup,
     token_counts,
 )
 from tollway.llm.columns import table
@@ -62,6 +63,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_earlier(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +104,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_language_id": op7_language_id,
