@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules
-from tollway.llm.columns import store, table
+from tollway.llm.columns import free_name, store, table, where_computed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three lines in a row go, and documents of which nothing is left."""
     edited = line_dedup.without_repeats(docs)
-    left = edited.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    left = where_computed(
+        edited,
+        (F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0),
+        free_name(edited, "row"),
+    )
     return left.select(
         *[
             F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")

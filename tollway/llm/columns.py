@@ -43,6 +43,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def where_computed(df: DataFrame, condition: Column, name: str) -> DataFrame:
+    """Rows that meet a condition on columns that took much to compute.
+
+    The optimizer would move a plain filter below the projections and put their expressions in
+    place of the columns, each as often as it is named. It does not move one past a row number;
+    `name` is a free column name for that.
+    """
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col(name) >= 0)).drop(name)
+
+
 def free_prefix(df: DataFrame, base: str) -> str:
     """A prefix like `base` that no column of `df` starts with."""
     prefix = base

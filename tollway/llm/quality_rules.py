@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollway.llm.columns import free_prefix, lines, whole, words
+from tollway.llm.columns import free_prefix, lines, where_computed, whole, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -192,4 +192,6 @@ def keep_good(docs: DataFrame, policy: Policy = FULL, text_col: str = "text") ->
     """The documents that fail no rule of the policy, with the columns they came with."""
     prefix = free_prefix(docs, "__q")
     step = _measured(docs, text_col, prefix)
-    return step.where(~fails(policy, _failed(prefix))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = step.withColumn(f"{prefix}failed", _failed(prefix))
+    kept = where_computed(judged, ~fails(policy, f"{prefix}failed"), f"{prefix}row")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
