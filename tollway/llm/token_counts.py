@@ -1,6 +1,6 @@
 """Token counts of whole texts, with huge documents encoded in overlapping chunks.
 
-A text of at most `CHUNK` characters is encoded as a whole. A longer one is cut into chunks that
+A text of at most `CHUNK` characters is encoded in one task. A longer one is cut into chunks that
 overlap, which are dealt out over the cluster and encoded with offsets. Two neighbours are spliced
 in their overlap, at the first place that follows a white space character. There the tokens of
 both sides cannot depend on each other: the tokenizer drops white space before it merges, it does
@@ -30,7 +30,8 @@ from tollway.llm.columns import store, whole
 
 CHUNK = 32_768  # characters
 OVERLAPS = (256, 4_096, 65_536)  # characters, one round after the other
-BATCH_CHARS = 1 << 20
+TEXTS = 256  # handled at once
+KNOWN_WORDS = 500_000  # kept by a task
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _CHUNK_SCHEMA = "key string, nr int, last boolean, left string, right string, n bigint"
@@ -47,18 +48,24 @@ def tokenizer(path: str) -> Any:
     return found
 
 
-def counts(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text, encoded whole."""
+def counts(texts: list[str], path: str, known: dict[bytes, int] | None = None) -> list[int]:
+    """Tokens of each text.
+
+    Every white space character is a stable boundary (see above), so the tokens of a text are
+    those of its words, and each distinct word is encoded once. `known` keeps their counts.
+    """
+    known = {} if known is None else known
     out: list[int] = []
-    some: list[str] = []
-    size = 0
-    for text in texts:
-        some.append(text)
-        size += len(text)
-        if size >= BATCH_CHARS:
-            out += [len(e) for e in tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
-            some, size = [], 0
-    out += [len(e) for e in tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
+    for first in range(0, len(texts), TEXTS):
+        # split() of bytes knows no white space but these six characters
+        words = [text.encode().split() for text in texts[first : first + TEXTS]]
+        new = list(set().union(*words).difference(known))
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            new = list(set().union(*words))
+        encoded = tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known.update(zip(new, map(len, encoded)))
+        out += [sum(map(known.__getitem__, w)) for w in words]
     return out
 
 
@@ -92,8 +99,9 @@ def chunk_row(text: str, nr: int, overlap: int, last: bool, path: str) -> tuple:
 
 def _count_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            n = pa.array(counts(batch.column(2).to_pylist(), path), pa.int64())
+            n = pa.array(counts(batch.column(2).to_pylist(), path, known), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["id", "n_bytes", "n"])
 
     return run
