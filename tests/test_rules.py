@@ -19,6 +19,7 @@ from tollway.operators import tolls as tol
 from tollway.operators import vehicles as veh
 from tollway.plans.live import LivePath, measured
 from tollway.schema import SEGMENT, TOLL_HISTORY, Params
+from tollway.sources import history as his
 from tollway.sources import lines as lin
 
 STOP = (0, 2, 1, 49, 258_725)  # xway, lane, dir, segment, position
@@ -195,6 +196,43 @@ def test_parsing(spark):
     assert bad == {"0,1,2": "speed", good.replace("260", "x"): "vid"}
 
 
+def test_lines_off_the_road_are_rejected(spark):
+    good = "0,61,260,60,0,2,1,49,258725,-1,-1,-1,-1,-1,-1"
+    bad = {
+        good.replace(",1,49,", ",1,100,"): "segment",
+        good.replace(",1,49,", ",0,-1,"): "segment",
+        good.replace(",1,49,", ",2,49,"): "dir",
+        good.replace(",0,2,1,", ",0,5,1,"): "lane",
+        good.replace("0,61,", "0,-1,"): "time",
+    }
+    df = spark.createDataFrame([(v,) for v in [good, *bad]], "value string")
+    assert lin.parse_events(df).count() == 1
+    assert {r.value: r.bad_field for r in lin.parse_rejects(df).collect()} == bad
+
+
+@pytest.mark.parametrize("direction", [0, 1])
+def test_warned_segments_are_told_for_any_segment(spark, direction):
+    df = spark.createDataFrame([(s,) for s in (-1, 0, 2, 49, 98, 99, 100, 120)], "s int")
+    step = 1 if direction else -1
+    for r in df.select("s", affected_segments("s", F.lit(direction)).alias("a")).collect():
+        there = [r.s + step * k for k in range(5)] if 0 <= r.s <= 99 else []
+        assert r.a == [s for s in there if 0 <= s <= 99]
+
+
+def test_a_vehicle_standing_off_the_road_warns_nobody(spark):
+    off = (0, 2, 1, 120, 640_000)
+    rows = [report(61 + 30 * i, v, 0, *off) for v in (1, 2) for i in range(6)]
+    assert _path(spark, rows).alerts.count() == 0
+
+
+def test_history_is_unique_and_bad_lines_are_told(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("1,2,0,7\n1,2,0,9\n 1,2,0,9\n\n1,x,0,7\n1,2\n1,3,0,4\n1,2,3,4,5\n")
+    got = his.read_toll_history(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 0, 9), (1, 3, 0, 4)]
+    bad = his.toll_history_rejects(spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in bad) == ["1,2", "1,2,3,4,5", "1,x,0,7"]
+
+
 def test_line_round_trip(spark):
     events = as_frame(spark, random_traffic(5, vehicles=5))
     back = lin.parse_events(lin.format_lines(events)).drop("ingest_ms")

@@ -48,9 +48,12 @@ def affected_segments(segment, direction, params: Params = Params()) -> Column:
     """Array of the segments whose vehicles are warned of an accident in `segment`.
 
     Eastbound traffic (0) comes from lower segments, westbound (1) from higher ones. The
-    accident's own segment comes first, so the array index is the distance.
+    accident's own segment comes first, so the array index is the distance. Segments that do not
+    exist are left out; an accident in one of them warns nobody.
     """
-    seg, reach = _col(segment), F.lit(params.alert_reach)
-    east = F.sequence(seg, F.greatest(seg - reach, F.lit(0)), F.lit(-1))
-    west = F.sequence(seg, F.least(seg + reach, F.lit(params.last_segment)), F.lit(1))
-    return F.when(_col(direction) == 0, east).otherwise(west)
+    seg = _col(segment)
+    step = F.when(_col(direction) == 0, F.lit(-1)).otherwise(F.lit(1))
+    on_road = lambda s: s.between(0, params.last_segment)
+    reach = F.array(*[F.lit(k) for k in range(params.alert_reach + 1)])
+    there = F.filter(F.transform(reach, lambda k: seg + step * k), on_road)
+    return F.when(on_road(seg), there).otherwise(F.array().cast("array<int>"))

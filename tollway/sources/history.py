@@ -2,15 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.schema import TOLL_HISTORY
 
 
+KEY = ("vid", "day", "xway")
+
+
+def _history_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The file's lines as `value`, with the declared columns; a field that is no number is null."""
+    fields = F.split("value", ",", -1)
+    return (
+        spark.read.text(path)
+        .where(F.length(F.trim("value")) > 0)
+        .select("value", F.explode(F.array(fields)).alias("f"))
+        .select(
+            "value",
+            (F.size("f") == len(TOLL_HISTORY)).alias("whole"),
+            *[
+                F.trim(F.get("f", F.lit(i))).try_cast(c.dataType).alias(c.name)
+                for i, c in enumerate(TOLL_HISTORY)
+            ],
+        )
+    )
+
+
+def _is_good() -> Column:
+    good = F.col("whole")
+    for c in TOLL_HISTORY:
+        good = good & F.col(c.name).isNotNull()
+    return good
+
+
 def read_toll_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history file, `vid,day,xway,toll` a line, with declared types."""
-    return spark.read.schema(TOLL_HISTORY).csv(path)
+    """The history file, `vid,day,xway,toll` a line: one row for each (vid, day, xway).
+
+    Malformed lines are left out; `toll_history_rejects` has them. Of lines that differ in the
+    toll only, the largest toll counts, in whatever order they come.
+    """
+    return (
+        _history_lines(spark, path)
+        .where(_is_good())
+        .groupBy(*KEY)
+        .agg(F.max("toll").alias("toll"))
+        .select(*TOLL_HISTORY.fieldNames())
+    )
+
+
+def toll_history_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the history that are neither blank nor well-formed."""
+    return _history_lines(spark, path).where(~_is_good()).select("value")
 
 
 def tolls_by_vehicle(history: DataFrame) -> DataFrame:

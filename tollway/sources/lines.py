@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollway.schema import EVENT_KEY, EVENT_SCHEMA, LINE_FIELDS
+from tollway.schema import (
+    EVENT_KEY,
+    EVENT_SCHEMA,
+    EXIT_LANE,
+    LINE_FIELDS,
+    POSITION_REPORT,
+    Params,
+)
 
 
 def _attempt(lines: DataFrame) -> DataFrame:
@@ -32,15 +39,24 @@ def _attempt(lines: DataFrame) -> DataFrame:
     )
 
 
-def _complete() -> Column:
-    ok = F.lit(True)
-    for f in EVENT_SCHEMA:
-        ok = ok & F.col(f.name).isNotNull()
-    return ok
+def _bad_field(params: Params) -> Column:
+    """Name of the first field that is no value, or that is out of range; null if all are good.
+
+    Only position reports have to have a place: in requests these fields are unused.
+    """
+    missing = [F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in EVENT_SCHEMA]
+    report = F.col("typ") == POSITION_REPORT
+    ranges = [
+        ("time", F.col("time") >= 0),
+        ("lane", ~report | F.col("lane").between(0, EXIT_LANE)),
+        ("dir", ~report | F.col("dir").between(0, 1)),
+        ("segment", ~report | F.col("segment").between(0, params.last_segment)),
+    ]
+    return F.coalesce(*missing, *[F.when(~ok, F.lit(name)) for name, ok in ranges])
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
-    """Events of the well-formed lines.
+def parse_events(lines: DataFrame, params: Params = Params()) -> DataFrame:
+    """Events of the well-formed lines: every field is there and, in reports, on the road.
 
     `lines` has `value string` and, from a message broker, `timestamp`, which becomes
     `ingest_ms` (null elsewhere). Blank lines are skipped; `parse_rejects` gives the rest.
@@ -48,17 +64,15 @@ def parse_events(lines: DataFrame) -> DataFrame:
     ingest = (
         F.unix_millis("timestamp") if "timestamp" in lines.columns else F.lit(None).cast("bigint")
     )
-    return _attempt(lines).where(_complete()).select(
+    return _attempt(lines).where(_bad_field(params).isNull()).select(
         *EVENT_SCHEMA.fieldNames(), ingest.alias("ingest_ms")
     )
 
 
-def parse_rejects(lines: DataFrame) -> DataFrame:
+def parse_rejects(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """The lines that are neither blank nor well-formed, with the first bad field's name."""
-    first_bad = F.coalesce(
-        *[F.when(F.col(f.name).isNull(), F.lit(f.name)) for f in EVENT_SCHEMA]
-    )
-    return _attempt(lines).where(~_complete()).select("value", first_bad.alias("bad_field"))
+    tried = _attempt(lines).select("value", _bad_field(params).alias("bad_field"))
+    return tried.where(F.col("bad_field").isNotNull())
 
 
 def distinct_events(events: DataFrame) -> DataFrame:

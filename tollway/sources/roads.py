@@ -27,12 +27,10 @@ HISTORY_DAYS = 69
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _once_written(spark: SparkSession, sf_dir: str, name: str, write) -> str | None:
-    """Path of a derived table, written once per application; None without a shared folder."""
+def _once_written(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Path of a derived table, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        if workdir.shared_root(spark) is None:
-            return None
         path = workdir.new_folder(spark, name)
         write(path)
         _written[key] = path
@@ -173,7 +171,7 @@ def road_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         return project_events(_events_table(spark, sf_dir))
 
     path = _once_written(spark, sf_dir, "road_events", lambda p: derive().write.parquet(p))
-    return derive() if path is None else spark.read.schema(EVENT_SCHEMA).parquet(path)
+    return spark.read.schema(EVENT_SCHEMA).parquet(path)
 
 
 def road_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +181,7 @@ def road_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         return project_history(_events_table(spark, sf_dir))
 
     path = _once_written(spark, sf_dir, "toll_history", lambda p: derive().write.csv(p))
-    return derive() if path is None else read_toll_history(spark, path)
+    return read_toll_history(spark, path)
 
 
 def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,4 +191,4 @@ def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return project_lines(_events_table(spark, sf_dir))
 
     path = _once_written(spark, sf_dir, "road_lines", lambda p: derive().write.text(p))
-    return derive() if path is None else read_lines(spark, path)
+    return read_lines(spark, path)

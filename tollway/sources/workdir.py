@@ -37,11 +37,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to a folder of its own and read back, which cuts its lineage.
 
-    Without a shared folder `df` is given back as it is.
+    A cluster without a shared folder is an error, here as for streams.
     """
     spark = df.sparkSession
-    if shared_root(spark) is None:
-        return df
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
