@@ -13,7 +13,7 @@ from tollway.operators.words import word_count, words
 from tollway.plans.stream_queries import stream_queries
 from tollway.schema import TOLL_HISTORY, Params
 from tollway.sources.lines import format_lines, parse_events, read_line_stream
-from tollway.streaming import live, replay, windows
+from tollway.streaming import live, replay, state, windows
 from tollway.streaming.live import start_answers
 
 
@@ -69,6 +69,44 @@ def test_application_from_lines_to_lines(spark, tmp_path):
     assert [(r[1], *r[3:]) for r in rows if r[0] == "3"] == [("9", "day", "77")]
 
 
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def getValueState(self, name, schema):
+        return _Value()
+
+
+def test_late_reports_are_told_and_counted_in_their_minute():
+    from pyspark.sql import Row
+
+    processor = state.VehicleProcessor(4, 5280, 4)
+    processor.init(_Handle())
+
+    def told(*times):
+        rows = [Row(**report(t, 1, 30, 0, 1, 0, 0, 10), ingest_ms=None) for t in times]
+        found = processor.handleInputRows((0, 0, 1), rows, None)
+        return [(r.time, r.late, r.counted, r.new_minute) for r in found]
+
+    assert told(0, 130) == [(0, False, True, True), (130, False, True, True)]
+    # overtaken: once in a minute of its own, once in one that was seen; then copies of both
+    assert told(70) == [(70, True, True, True)]
+    assert told(100, 70, 130) == [(100, True, True, False)]
+    assert told(100, 0) == []
+    assert told(1000) == [(1000, False, True, True)]
+    # too late to be counted, but told
+    assert told(200) == [(200, True, False, False)]
+    assert told(1000, 1030) == [(1030, False, True, True)]
+
+
 def test_trips_split_at_gaps_and_open_ones_wait(spark):
     times = [0, 30, 60, 300, 330, 2000]
     events = [report(t, 1, 30, 0, 1, 0, 0, t) for t in times]

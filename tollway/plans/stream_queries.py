@@ -60,7 +60,8 @@ def _source_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _queries["stream_source_replay"] = _source_replay
 _over_events(
-    "stream_vehicle_state", lambda e, h: live.vehicle_state_stream(e).drop("ingest_ms")
+    "stream_vehicle_state",
+    lambda e, h: live.vehicle_state_stream(e).drop("ingest_ms", "late", "counted"),
 )
 _over_events("stream_lav", lambda e, h: windows.lav_stream(e, DELAY))
 _over_events("stream_nov_distinct", lambda e, h: windows.nov_distinct_stream(e, DELAY))

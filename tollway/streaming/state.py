@@ -14,7 +14,7 @@ VEHICLE_STATE = (
     "vid int, time bigint, speed int, xway int, lane int, dir int, segment int, position int, "
     "minute bigint, is_stopped boolean, is_crossing boolean, new_minute boolean, "
     "stop_began boolean, stop_ended boolean, last_lane int, last_position int, "
-    "last_segment int, ingest_ms bigint"
+    "last_segment int, ingest_ms bigint, late boolean, counted boolean"
 )
 
 SEGMENT_ANSWER = (
@@ -29,20 +29,31 @@ ACCOUNT_ANSWER = (
 
 
 class VehicleProcessor(StatefulProcessor):
-    """Per (xway, dir, vid): the last report and how often its place was reported in a row."""
+    """Per (xway, dir, vid): the last report and how often its place was reported in a row.
 
-    def __init__(self, stop_reports: int, feet_per_segment: int, exit_lane: int):
+    The seconds of the reports of the last `late_seconds` are kept too. A report overtaken by a
+    later one is told as `late`: it starts and ends no stop and asks for no toll, but is `counted`
+    in its minute, unless it is a copy or comes later than that.
+    """
+
+    def __init__(
+        self, stop_reports: int, feet_per_segment: int, exit_lane: int, late_seconds: int = 300
+    ):
         self.stop_reports = stop_reports
         self.feet_per_segment = feet_per_segment
         self.exit_lane = exit_lane
+        self.late_seconds = late_seconds
 
     def init(self, handle) -> None:
         self.last = handle.getValueState(
-            "last", "time bigint, position int, lane int, segment int, counter bigint"
+            "last",
+            "time bigint, position int, lane int, segment int, counter bigint, seen array<bigint>",
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()
+        last, seen = self.last.get(), []
+        if last is not None:
+            last, seen = tuple(last)[:5], list(last[5])
         reports = {}  # one a second; of differing copies the smallest, whatever the order
         for r in rows:
             rank = (r.speed, r.lane, r.segment, r.position)
@@ -50,7 +61,13 @@ class VehicleProcessor(StatefulProcessor):
                 reports[r.time] = (rank, r)
         for _, (_, r) in sorted(reports.items(), key=lambda item: item[0]):
             if last is not None and r.time <= last[0]:
-                continue  # a copy, or a report overtaken by a later one
+                if r.time not in seen:
+                    counted = r.time > last[0] - self.late_seconds
+                    fresh = counted and all(t // 60 != r.time // 60 for t in seen)
+                    yield self._late(r, counted, fresh)
+                    if counted:
+                        seen.append(r.time)
+                continue
             time, position, lane, segment, counter = last or (None, 0, 0, 0, 0)
             minute = r.time // 60 + 1
             first = time is None
@@ -77,10 +94,38 @@ class VehicleProcessor(StatefulProcessor):
                 last_position=position,
                 last_segment=segment,
                 ingest_ms=r.ingest_ms,
+                late=False,
+                counted=True,
             )
             last = (r.time, r.position, r.lane, r.segment, count)
+            seen = [t for t in seen if t > r.time - self.late_seconds] + [r.time]
         if last is not None:
-            self.last.update(last)
+            self.last.update((*last, seen))
+
+    @staticmethod
+    def _late(r, counted, new_minute):
+        return Row(
+            vid=r.vid,
+            time=r.time,
+            speed=r.speed,
+            xway=r.xway,
+            lane=r.lane,
+            dir=r.dir,
+            segment=r.segment,
+            position=r.position,
+            minute=r.time // 60 + 1,
+            is_stopped=False,
+            is_crossing=False,
+            new_minute=new_minute,
+            stop_began=False,
+            stop_ended=False,
+            last_lane=r.lane,
+            last_position=r.position,
+            last_segment=r.segment,
+            ingest_ms=r.ingest_ms,
+            late=True,
+            counted=counted,
+        )
 
     def close(self) -> None:
         pass
@@ -94,9 +139,10 @@ class SegmentProcessor(StatefulProcessor):
     reports only those that ask are kept until the micro-batch's sums are complete.
     """
 
-    def __init__(self, lav_minutes: int, crash_vehicles: int):
+    def __init__(self, lav_minutes: int, crash_vehicles: int, late_minutes: int = 5):
         self.lav_minutes = lav_minutes
         self.crash_vehicles = crash_vehicles
+        self.late_minutes = late_minutes
 
     def init(self, handle) -> None:
         self.sums = handle.getMapState(
@@ -147,7 +193,7 @@ class SegmentProcessor(StatefulProcessor):
                 ingest_ms=ingest_ms,
             )
 
-        oldest = max(sums, default=0) - self.lav_minutes
+        oldest = max(sums, default=0) - self.lav_minutes - self.late_minutes
         for m in kept:
             if m < oldest:
                 self.sums.removeKey((m,))
