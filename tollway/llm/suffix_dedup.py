@@ -40,8 +40,8 @@ from tollway.llm.hashing import Stretches, mix
 
 LENGTH = 50  # bytes
 ANCHOR = 12  # bytes
-PIECE = 3 << 20  # bytes of text handled at once
-BUCKET_BYTES = 10 << 20  # bytes of text for each bucket
+PIECE = 2 << 20  # bytes of text handled at once
+BUCKET_BYTES = 6 << 20  # bytes of text for each bucket
 NO_ID = np.iinfo(np.int64).max
 
 _SPAN_SCHEMA = "home bigint, spans binary"
@@ -317,8 +317,9 @@ def _hash_all(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def _compare(homes: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["docs"] is not None]
-        told = [(r["home"], r["spans"]) for r in table.to_pylist() if r["docs"] is None]
+        rows = table.to_pylist()
+        told = [(r["home"], r["spans"]) for r in rows if r["docs"] is None]
+        rows = [r for r in rows if r["docs"] is not None]
         if rows:
             told += _spans(*_removed(rows), homes)
         return pa.table({
