@@ -27,6 +27,7 @@ whatever their names, are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ def least_run(size: int, num: int, den: int) -> int:
     return best
 
 
+@lru_cache
 def channels(num: int, den: int) -> list[tuple[int, int, int, int]]:
     """(least size, largest size, neighbours, windows) of small and of large sets.
 
