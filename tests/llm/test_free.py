@@ -269,6 +269,7 @@ def test_join_equals_all_pairs(spark, width, num):
 
 def test_large_groups_lose_no_component(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "ALL_PAIRS", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rows = similar(9, groups=4, size=30)
     got = jaccard_join.join(documents(spark, rows), 3, 90).collect()
     assert in_order(got) == plain_join(rows, 3, 90)

@@ -13,8 +13,9 @@
    are read and compared token by token.
 4. In groups of more than `ALL_PAIRS` classes, every class is first compared with the group's
    least only. Links found so far are joined into components, and then only classes of one group
-   that still are in different components are compared, until nothing new is found. So a large
-   group of near copies is not expanded into all pairs, and no link between components is lost.
+   that still are in different components are compared, by bitmaps and in blocks of bounded size,
+   until nothing new is found. So a large group of near copies is not expanded into all pairs, and
+   no link between components is lost.
 
 The result has a row for each document. Texts and tokens are never gathered on the driver.
 
@@ -42,6 +43,8 @@ from tollway.llm.hashing import fold, groups, mix, shingle_sets, text_bytes
 GROUP_BYTES = 2 << 20  # of texts handled at once
 ALL_PAIRS = 32  # classes in a group that are all compared with each other
 SKETCH = 8  # numbers of 64 bits
+BLOCK = 4_096  # classes of a large group in a block
+CELLS = 1 << 20  # pairs whose bitmaps are compared at once
 BUCKET_BYTES = 24 << 20  # of text, for each bucket of groups
 
 
@@ -317,61 +320,115 @@ def join(
     )
 
 
+def _nearest_strays(limit: int | None, num: int, den: int):
+    """Of one cell of a large group: pairs of different components that bitmaps and sizes allow.
+
+    Each class outside the group's main component is compared with all of the cell. Of the pairs
+    of one class the `limit` nearest by the bitmaps are told, or all.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c: table[c].to_numpy()
+        block, classes, part, n = get("block"), get("class"), get("component"), get("n")
+        stray = part != get("main")
+        bits = np.stack([get(f"s{k}") for k in range(SKETCH)], 1).view(np.uint64)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        pairs = [np.empty((0, 2), np.int64)]
+        for rows, columns in ((left[stray[left]], right), (right[stray[right]], left)):
+            step = max(1, CELLS // max(len(columns), 1))
+            for first in range(0, len(rows), step):
+                some = rows[first : first + step]
+                differ = np.zeros((len(some), len(columns)), np.int64)
+                for k in range(SKETCH):
+                    differ += np.bitwise_count(bits[some, k][:, None] ^ bits[columns, k][None, :])
+                a, b = n[some][:, None], n[columns][None, :]
+                likely = (
+                    (part[some][:, None] != part[columns][None, :])
+                    & (differ * (den + num) <= (a + b) * (den - num))
+                    & (np.minimum(a, b) * den >= np.maximum(a, b) * num)
+                )
+                if limit and limit < len(columns):
+                    differ[~likely] = 1 << 40
+                    near = np.argpartition(differ, limit, axis=1)[:, :limit]
+                    x = np.repeat(np.arange(len(some)), limit)
+                    y = near.reshape(-1)
+                    keep = likely[x, y]
+                    x, y = x[keep], y[keep]
+                else:
+                    x, y = np.nonzero(likely)
+                pairs.append(np.stack([classes[some[x]], classes[columns[y]]], 1))
+            if block.min() == block.max():
+                break
+        pair = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+    return run
+
+
+def _split_groups(large: DataFrame, links: DataFrame, info: DataFrame) -> DataFrame:
+    """Members of large groups that have more than one component, dealt into cells.
+
+    A group is cut into blocks of about `BLOCK` classes, and every two blocks are a cell, so a
+    cell has a bound whatever the group's size.
+    """
+    found = components(links).select(F.col("node").alias("class"), "component")
+    placed = large.join(found, "class", "left").select(
+        "sign", "class", F.coalesce("component", "class").alias("component")
+    )
+    main = (
+        placed.groupBy("sign", "component")
+        .agg(F.count("*").alias("k"))
+        .groupBy("sign")
+        .agg(
+            F.max_by("component", F.struct("k", "component")).alias("main"),
+            F.count("*").alias("parts"),
+            F.sum("k").alias("members"),
+        )
+        .where("parts > 1")
+    )
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    return store(
+        placed.join(main, "sign")
+        .join(info.drop("rep"), "class")
+        .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .drop("parts", "members", "other"),
+        "split-groups",
+    )
+
+
 def _between_components(
     large: DataFrame, pairs: DataFrame, links: DataFrame, info: DataFrame, texts: DataFrame,
     width: int, num: int, den: int,
 ) -> DataFrame:
     """More links, from large groups whose classes are not yet of one component.
 
-    Compared are the classes outside the largest part of a group with all others of the group
-    that belong to another component.
+    First every class outside a group's main component is compared with the few nearest of other
+    components only, since one link is enough to join two; then with more, and at last with all
+    that are left, until all pairs that the bitmaps allow are compared or of one component.
     """
-    while True:
-        found = components(links).select(F.col("node").alias("class"), "component")
-        placed = large.join(found, "class", "left").select(
-            "sign", "class", F.coalesce("component", "class").alias("component")
-        )
-        parts = placed.groupBy("sign", "component").agg(F.count("*").alias("n"))
-        main = (
-            parts.groupBy("sign")
-            .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
-            .where("k > 1")
-        )
-        split = store(
-            placed.join(main, "sign").join(info, "class").drop("rep", "k"), "split-groups"
-        )
-        if split.isEmpty():
-            return links
-        a = split.where("component <> main").select(
-            "sign", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"),
-            *[F.col(f"s{k}").alias(f"x{k}") for k in range(SKETCH)],
-        )
-        b = split.select(
-            "sign", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"),
-            *[F.col(f"s{k}").alias(f"y{k}") for k in range(SKETCH)],
-        )
-        differ = sum(
-            (F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH)), F.lit(0)
-        )
-        fresh = (
-            a.join(
-                b,
-                (a["sign"] == b["sign"])
-                & (F.col("cx") != F.col("cy"))
-                & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-                & (differ * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)),
-            )
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rounds = [4, 64]
+    split = _split_groups(large, links, info)
+    while not split.isEmpty():
+        limit = rounds.pop(0) if rounds else None
+        fresh = store(
+            split.groupBy("sign", "low", "high")
+            .applyInArrow(_nearest_strays(limit, num, den), "a bigint, b bigint")
             .distinct()
-            .join(pairs, ["a", "b"], "left_anti")
+            .join(pairs, ["a", "b"], "left_anti"),
+            "fresh-pairs",
         )
-        fresh = store(fresh, "fresh-pairs")
         if fresh.isEmpty():
-            return links
+            if limit is None:
+                break
+            continue
         more = store(_links(fresh, info, texts, width, num, den), "links")
-        if more.isEmpty():
-            return links
-        links, pairs = links.unionAll(more), pairs.unionAll(fresh)
+        pairs = pairs.unionAll(fresh)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            split = _split_groups(large, links, info)
+    return links
 
 
 def one_of_each(
