@@ -122,10 +122,21 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
 
+    # where three numbers, or two and a rank, fit in 64 bits, they are sorted as one
+    bits, rank_bits = int(s.max()).bit_length(), n.bit_length()
+
     def names(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return np.unique(first << shift | second, return_inverse=True)[1].astype(np.uint64)
 
-    triple = names(names(s[sample], s[sample + 1]), s[sample + 2]) + np.uint64(1)
+    if 3 * bits <= 64:
+        two = np.uint64(bits)
+        key = (s[sample] << two | s[sample + 1]) << two | s[sample + 2]
+        order = np.argsort(key)
+        key = key[order]
+        triple = np.empty(len(key), np.uint64)
+        triple[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+    else:
+        triple = names(names(s[sample], s[sample + 1]), s[sample + 2]) + np.uint64(1)
     if len(triple) and int(triple.max()) < len(triple):
         order = suffix_order(triple)
     else:
@@ -148,7 +159,10 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     )
     at = sorted_sample[~one]
     both = np.concatenate([others, at])
-    pair = names(s[both], s[both + 1]) << shift | rank[both + 2]
+    if 2 * bits + rank_bits <= 64:
+        pair = (s[both] << np.uint64(bits) | s[both + 1]) << np.uint64(rank_bits) | rank[both + 2]
+    else:
+        pair = names(s[both], s[both + 1]) << shift | rank[both + 2]
     before[~one] = np.searchsorted(pair[: len(others)], pair[len(others) :])
     out = np.empty(n, np.int64)
     place = np.arange(len(sorted_sample)) + before
