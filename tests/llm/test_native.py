@@ -205,6 +205,28 @@ def test_fitted_rates_equal_a_plain_loop(spark):
     assert off(got) < 0.01 * off([start] * 3)
 
 
+@pytest.mark.parametrize("max_local", [0, 100])
+@pytest.mark.parametrize("toxic", [2, 5, 10, 30])
+def test_rare_domains_are_fitted_too(spark, toxic, max_local):
+    # thousandths of a million tokens: toxic, good, poor
+    cells = [([100, 0, 0], toxic * 1000), ([0, 100, 0], (850 - toxic) * 1000), ([0, 0, 100], 150_000)]
+    table = spark.createDataFrame(cells, "q array<int>, n long")
+    steps = mixing.fit_rates(table, [0.0, 475_000.0, 25_000.0], 0.5, max_local=max_local)
+    rates = [r[0] for r in table.select(mixing._rate(0.5, steps, table["q"])["r"]).collect()]
+    assert rates == pytest.approx([0.0, 475 / (850 - toxic), 1 / 6], abs=1e-3)
+
+
+def test_a_rare_domain_that_shares_cells_is_fitted(spark):
+    rare = [([a, 100 - a, 0], 1000) for a in (1, 2, 5, 20, 60)]
+    cells = [([0, 100, 0], 800_000), ([0, 10, 90], 100_000), ([0, 60, 40], 95_000), *rare]
+    table = spark.createDataFrame(cells, "q array<int>, n long")
+    steps = mixing.fit_rates(table, [0.0, 475_000.0, 25_000.0], 0.5)
+    rates = [r[0] for r in table.select(mixing._rate(0.5, steps, table["q"])["r"]).collect()]
+    tokens = [sum(r * n * q[k] / 100 for r, (q, n) in zip(rates, cells)) for k in range(3)]
+    assert tokens[0] <= 1e-3 * sum(n * q[0] / 100 for q, n in cells)
+    assert tokens[1:] == pytest.approx([475_000, 25_000], rel=2e-3)
+
+
 def test_mixing_of_odd_tables(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(None, 1, 0), (999, 0, 1)], "doc_id long, quality int, toxic int")

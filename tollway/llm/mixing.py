@@ -8,8 +8,10 @@
    the expected tokens of each domain, summed over all documents, are the target. The gradient is
    taken in the metric of a document's tokens; then documents with equal posteriors have equal
    rates, and each step sums over cells of equal posterior. Their number is bounded by the number
-   of domains and the hundredths (5,151 cells for three domains), not by the documents. What each
-   step brings to the driver is one number a domain.
+   of domains and the hundredths (5,151 cells for three domains), not by the documents. Up to
+   `MAX_LOCAL_CELLS` of them are summed on the driver; of more, each step brings it two numbers a
+   domain. Steps and tolerance are relative to each domain, so a rare one is fitted as closely as
+   a frequent one.
 
 A rate is how often a document is read: 0 leaves it out, 2.5 reads it twice and half of the time
 once more.
@@ -19,12 +21,13 @@ the labels, and its rate counts for nothing. Null or repeated ids stay rows. Lab
 or of no document are ignored; if a document has several labels, each counts. Without any label,
 the domains are equally likely. Other columns, whatever their names, are carried along, but for
 those this operator adds, which it replaces. An empty table gives an empty table. If the targets
-cannot be reached with nonnegative rates, the rates come as near as least squares can.
+cannot be reached with nonnegative rates, the rates come as near as least squares can, with
+each domain's miss relative to its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,9 +43,11 @@ BUDGET = 0.5  # of the tokens there are
 MAX_LABELLED = 20_000
 MAX_WORDS = 512
 LEAST_EFFECT = 0.04
-STEPS = 40
-TOLERANCE = 1e-3  # of the budget
-STALLED = 1e-4  # of the budget, from one step to the next
+STEPS = 500
+TOLERANCE = 1e-3  # of a domain's target; of its tokens if the target is 0
+STALLED = 1e-6  # of the same, from one step to the next
+PATIENCE = 5  # steps in a row that move no domain
+MAX_LOCAL_CELLS = 20_000  # more are summed by Spark in each step
 HUNDREDTHS = 100
 
 
@@ -199,39 +204,82 @@ def _rate(start: float, steps: Sequence[tuple[float, Sequence[float]]], posterio
     return F.aggregate(told, first, move)
 
 
+def _spark_sums(cells: DataFrame, start: float, k: int) -> Callable[[list], list[float]]:
+    """Expected tokens of each domain after the steps: at the point looked ahead to, and at the rates."""
+    part = lambda i: F.col("q")[i] / HUNDREDTHS
+
+    def sums(taken: list) -> list[float]:
+        state = cells.withColumn("s", _rate(start, taken, F.col("q")))
+        row = state.agg(*[F.sum(F.col("n") * F.col(f"s.{c}") * part(i)) for c in "yr" for i in range(k)]).first()
+        return [float(x) for x in row]
+
+    return sums
+
+
+def _local_sums(cells: list, start: float) -> Callable[[list], list[float]]:
+    """The same over few cells, with the last step added to the state kept here."""
+    import numpy as np
+
+    q = np.array([row["q"] for row in cells], dtype=float) / HUNDREDTHS
+    n = np.array([row["n"] for row in cells], dtype=float)
+    r = y = np.full(len(n), float(start))
+
+    def sums(taken: list) -> list[float]:
+        nonlocal r, y
+        if taken:
+            momentum, gradient = taken[-1]
+            after = np.maximum(y - q @ np.array(gradient), 0.0)
+            r, y = after, after + momentum * (after - r)
+        return [*map(float, (n * y) @ q), *map(float, (n * r) @ q)]
+
+    return sums
+
+
 def fit_rates(
-    cells: DataFrame, targets: Sequence[float], start: float, steps: int = STEPS
-) -> list[tuple[float, list[float]]]:
-    """Projected gradient over cells (q: hundredths of each domain, n: tokens); the steps taken."""
+    cells: DataFrame, targets: Sequence[float], start: float, steps: int = STEPS,
+    max_local: int = MAX_LOCAL_CELLS,
+) -> list[tuple[float, list[float]]]:
+    """Projected gradient over cells (q: hundredths of each domain, n: tokens); the steps taken.
+
+    Each domain counts by its own size: the gradient is scaled by the diagonal of the Gram matrix,
+    and a miss is a share of the domain's target, or of its tokens if the target is 0. Momentum
+    starts anew when a step leads away.
+    """
     import numpy as np
 
     k = len(targets)
     part = lambda i: F.col("q")[i] / HUNDREDTHS
-    gram = cells.agg(*[
-        F.coalesce(F.sum(F.col("n") * part(i) * part(j)), F.lit(0.0)) for i in range(k) for j in range(k)
-    ]).first()
-    largest = float(np.linalg.eigvalsh(np.array(gram, dtype=float).reshape(k, k)).max())
-    budget = max(sum(targets), 1.0)
+    first = cells.agg(
+        F.count("*"),
+        *[F.coalesce(F.sum(F.col("n") * part(i)), F.lit(0.0)) for i in range(k)],
+        *[F.coalesce(F.sum(F.col("n") * part(i) * part(j)), F.lit(0.0)) for i in range(k) for j in range(k)],
+    ).first()
+    gram = np.array(first[1 + k :], dtype=float).reshape(k, k)
+    own = np.diag(gram)
+    scale = np.where(own > 0, 1 / np.where(own > 0, own, 1.0), 0.0)
+    size = np.array([t if t > 0 else x for t, x in zip(targets, first[1 : 1 + k])], dtype=float)
+    largest = float(np.linalg.eigvalsh(gram * np.sqrt(np.outer(scale, scale))).max())
     taken: list[tuple[float, list[float]]] = []
     if largest <= 0:
         return taken
-    momentum, t = 0.0, 1.0
-    off: list[float] = []
+    sums = _local_sums(cells.collect(), start) if first[0] <= max_local else _spark_sums(cells, start, k)
+    momentum, t, still = 0.0, 1.0, 0
+    least, before = float("inf"), None
     for _ in range(steps):
-        state = cells.withColumn("s", _rate(start, taken, F.col("q")))
-        sums = state.agg(
-            *[F.sum(F.col("n") * F.col("s.y") * part(i)) for i in range(k)],
-            *[F.sum(F.col("n") * F.col("s.r") * part(i)) for i in range(k)],
-        ).first()
-        before = off
-        off = [float(s) - target for s, target in zip(sums[:k], targets)]
-        if max(abs(float(s) - target) for s, target in zip(sums[k:], targets)) <= TOLERANCE * budget:
+        both = np.array(sums(taken))
+        ahead, off = both[:k] - targets, both[k:] - targets
+        if (abs(off) <= TOLERANCE * size).all():
             break
-        if before and max(abs(a - b) for a, b in zip(before, off)) <= STALLED * budget:
+        still = still + 1 if before is not None and (abs(off - before) <= STALLED * size).all() else 0
+        if still == PATIENCE:
             break  # as near as it gets
+        miss = float((off * off * scale).sum())
+        if miss > least:
+            t = 1.0
+        least, before = miss, off
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         momentum, t = (t - 1) / after, after
-        taken.append((momentum, [x / largest for x in off]))
+        taken.append((momentum, [float(x) for x in ahead * scale / largest]))
     return taken
 
 
