@@ -320,6 +320,28 @@ def test_one_language_only(spark):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("xx", 1.0)}
 
 
+def test_a_rare_language_is_learned_like_the_others(spark, monkeypatch):
+    def lang(i):
+        return "zz" if i % 101 == 0 else f"l{i % 11:02}"
+
+    rows = [(i, f"text {i}", lang(i)) for i in range(50_000)]
+    rows += [(100_000 + i, "few", "few") for i in range(20)] + [(7, "same", "l00")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    chosen = {}
+
+    def counted(rows):
+        for language, _, _ in rows:
+            chosen[language] = chosen.get(language, 0) + 1
+        return language_id.Model({})
+
+    monkeypatch.setattr(language_id, "fit", counted)
+    language_id.train(docs, max_rows=1000)
+    few = sum(r[0] for r in docs.where("lang = 'few'").select((language_id.remainder("doc_id") != 0).cast("int")).collect())
+    assert chosen.pop("few") == few
+    assert len(chosen) == 12 and sum(chosen.values()) == 1000 - few
+    assert max(chosen.values()) - min(chosen.values()) <= 1
+
+
 # HTML extraction
 
 FRAME = "<nav><li>Home</li></nav><p>Our shop</p>"

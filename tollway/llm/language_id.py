@@ -5,8 +5,9 @@ Linear support vector machines tell the families apart, one against one, and the
 of the family found, one against one. Votes decide, then the sum of margins. The score is how sure
 the weakest of the decisive machines is.
 
-The machines are fitted on a bounded sample of labelled rows: of each language those whose id has
-a small hash, `MAX_ROWS` rows in all. Prediction reads the whole text and nothing else.
+The machines are fitted on a bounded sample of labelled rows: of each language the
+same number, those whose ids have the smallest hashes (all rows of a language with fewer),
+`MAX_ROWS` rows in all. Prediction reads the whole text and nothing else.
 
 Nulls and odd input: a null text, or one without a letter, is `und` with score 0. If no row can be
 learned from, every text is; if there is one language, every text with a letter is in it. A null
@@ -22,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollway.llm.hashing import groups, text_bytes
@@ -201,7 +202,10 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     max_rows: int = MAX_ROWS,
 ) -> Model:
-    """Fit on at most `max_rows` rows that are not held out, as many of each language as there are."""
+    """Fit on at most `max_rows` rows that are not held out, as many of each language, or all it has.
+
+    If there are more languages than `max_rows`, each has one row.
+    """
     able = docs.where(
         (remainder(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     ).select(
@@ -213,11 +217,30 @@ def train(
     of = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
         return Model({})
-    each = max(max_rows // len(of), 1)
-    share = F.lit(0.0)
-    for language, n in of.items():
-        share = F.when(F.col("lang") == language, F.lit(1.2 * each / n)).otherwise(share)
-    chosen = able.where(F.col("h") < share * (1 << 30)).orderBy("h", "lang").limit(max_rows)
+    # rows that languages with few leave unused are shared out among the others
+    each, left = {}, max(max_rows, len(of))
+    for k, (language, n) in enumerate(sorted(of.items(), key=lambda x: (x[1], x[0]))):
+        each[language] = min(n, left // (len(of) - k))
+        left -= each[language]
+    # hashes below a threshold that more than enough rows meet go to the exact choice, so what a
+    # language brings to it is bounded; a language that has too few below it brings all its rows
+    def limited(shares: dict[str, float]) -> Column:
+        share = F.lit(0.0)
+        for language, x in shares.items():
+            share = F.when(F.col("lang") == language, F.lit(x)).otherwise(share)
+        return F.col("h") < share * (1 << 30)
+
+    shares = {x: min(1.0, (2 * m + 50) / of[x]) for x, m in each.items()}
+    near = able.where(limited(shares))
+    enough = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    few = [x for x, m in each.items() if enough.get(x, 0) < m]
+    if few:
+        near = able.where(limited(shares | dict.fromkeys(few, 1.0)))
+    limit = F.lit(0)
+    for language, m in each.items():
+        limit = F.when(F.col("lang") == language, F.lit(m)).otherwise(limit)
+    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"), "text")
+    chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit)
     rows = chosen.select("lang", "text").mapInArrow(
         _sampled, "lang string, number array<int>, share array<float>"
     )
