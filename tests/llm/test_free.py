@@ -375,6 +375,19 @@ def test_text_of_pages(spark):
     assert html_extraction.extract(pages(spark, [])).collect() == []
 
 
+def test_lines_outside_an_article_are_compared(spark):
+    def page(k):
+        teaser = f"<article><h2>Teaser {k}</h2></article>"
+        return f"<p>Our shop</p><div class='content has-sidebar'><p>Text {k}.</p></div>{teaser}<div class='site-footer'>f{k}</div>"
+
+    rows = [(k, f"http://a.b/x/{k}", page(k)) for k in range(3)]
+    rows += [(k, "http://c.d/x/1", page(9)) for k in (8, 9)]
+    got = html_extraction.extract(pages(spark, rows)).collect()
+    want = [(k, f"Text {k}.\nTeaser {k}") for k in range(3)]
+    want += [(k, "Our shop\nText 9.\nTeaser 9") for k in (8, 9)]
+    assert in_order(r[0:3:2] for r in got) == in_order(want)
+
+
 def test_large_directories_are_split(spark):
     rows = [(i, f"http://a.b/x/{i}", f"{FRAME}<p>Page {i}</p>") for i in range(60)]
     got = html_extraction.extract(pages(spark, rows), block=10).collect()
