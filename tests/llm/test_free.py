@@ -71,6 +71,22 @@ def test_leaks_equal_brute_force(spark):
     assert found <= want and want - found <= {(200, 11)}
 
 
+def test_short_and_unspaced_items_equal_brute_force(spark):
+    items = [
+        (1, "Capital of France?"), (2, "Paris"), (3, "法国的首都是哪里？巴黎是首都。"), (4, "谁写了它"),
+        (5, "เมืองหลวงของไทยคือกรุงเทพ"), *((10 + i, t) for i, t in ITEMS[:5]),
+    ]
+    around = prose(7, 40)
+    rows = [(k, f"{around} {t}\n{around}") for k, t in items]
+    rows += [(100, f"{around} France of capital {around}"), (101, "前面的话" + items[2][1] + "后面的话"), (102, "首都法国")]
+    rows += [(103, "Capital, of\nfrance"), (104, "parisian"), (105, "capital of the France")]
+    bench = benchmark(spark, [(i, t, "x", 0.0) for i, t in items])
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(documents(spark, rows), bench).collect()}
+    assert got == {(k, k) for k, _ in items} | {(101, 3), (103, 1)}
+    kept = {r["doc_id"] for r in decontamination.without_leaks(documents(spark, rows), bench).collect()}
+    assert kept == {100, 102, 104, 105}
+
+
 def test_shards_find_the_same(spark, monkeypatch):
     docs, items = documents(spark, leaking()), benchmark(spark, [(i, t, "x", 0.0) for i, t in ITEMS])
     whole = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()}

@@ -6,7 +6,8 @@ block-max WAND does: first against the sum of its words' largest weights, then a
 weights in each block of items; only in blocks that could still reach the threshold are items
 scored. The threshold of an item is a share of the score it gives itself, and all items above it
 are retrieved. Each is then verified on the words: its shingles of five words must be in the
-passage, and both its question and its answer must be there.
+passage, and both its question and its answer must be there. An item of fewer than five words has
+to be there as it is, word after word. In scripts without spaces each character is a word.
 
 Benchmarks of more than `SHARD_BYTES` are split by hash into shards, each with its own index and
 its own pass over the documents, so what is sent to the executors has a bound. Documents are never
@@ -45,12 +46,23 @@ SHARD_BYTES = 8 << 20
 GROUP_CHARS = 1 << 20  # of documents searched at once
 CELLS = 1 << 20  # of passages by blocks, and of words, in one array
 
-_WORD = re.compile(r"[^\W_]+")
+# characters of scripts that put no spaces between words: Han, kana, Thai, Lao, Burmese, Khmer;
+# with the marks that belong to them
+_UNSPACED = (
+    "ก-ฺเ-๎๐-๙ກ-ໟက-၉ၐ-႟ក-៓"
+    "々-〇ぁ-゚ゝ-ゟァ-ヺー-ヿㇰ-ㇿ"
+    "㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+)
+_SPACED_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _SENTENCE_END = re.compile(r"[.?!]\s+|\n+")
 
 
 def split_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters or digits; of scripts without spaces, each character."""
+    text = text.lower()
+    return (_WORD if _ANY_UNSPACED.search(text) else _SPACED_WORD).findall(text)
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -88,6 +100,7 @@ class Index:
         self.ids = [k for k, _, _ in kept]
         self.longest = max((len(words) for _, _, words in kept), default=1)
         self.shingles = [shingles(words) for _, _, words in kept]
+        self.runs = [f" {' '.join(words)} " if len(words) < SHINGLE else "" for _, _, words in kept]
         self.parts = [
             tuple(shingles(split_words(part)) for part in question_and_answer(text))
             for _, text, _ in kept
@@ -158,8 +171,12 @@ class Index:
         hits = scores + 1e-9 >= self.threshold[item]
         return found[hits], item[hits], scores[hits]
 
-    def verified(self, i: int, there: set[tuple[str, ...]]) -> tuple[float, float, float] | None:
+    def verified(self, i: int, words: list[str]) -> tuple[float, float, float] | None:
         """Overlap of the item, its question and its answer with a passage, if it is a leak."""
+        if self.runs[i]:
+            # fewer words than a shingle: all of them, one after the other, hold the parts as well
+            return (1.0, 1.0, 1.0) if self.runs[i] in f" {' '.join(words)} " else None
+        there = shingles(words)
 
         def overlap(part: set) -> float:
             return len(part & there) / len(part) if part else 1.0
@@ -215,7 +232,7 @@ class Index:
                 keys = np.unique(passage[known] * none + terms[at][known])
                 for p, i, score in zip(*self.retrieve(keys // none, keys % none, len(some))):
                     doc, start = int(owner[some[p]]), int(starts[some[p]] - begins[owner[some[p]]])
-                    overlaps = self.verified(i, shingles(words[doc][start : start + span]))
+                    overlaps = self.verified(i, words[doc][start : start + span])
                     if overlaps:
                         told = (float(score / self.own[i]), *overlaps)
                         seen = found[first + doc]
