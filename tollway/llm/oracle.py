@@ -120,5 +120,40 @@ FROM t LEFT JOIN kept USING (r)
 """
 
 
+_TERMS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    r" 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), total AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS all_terms FROM d WHERE len(w) > 0
+), item AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM item) GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, total GROUP BY term, n_docs
+), m AS (
+  SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // all_terms AS m FROM d, total WHERE len(w) > 0
+), scored AS (
+  SELECT item_id, r, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (r)
+  GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op8_line_dedup": OP8}
+    return {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op8_line_dedup": OP8, "op12_lexical_search": OP12}

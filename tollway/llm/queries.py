@@ -12,6 +12,7 @@ from tollway.llm import (
     html_extraction,
     jaccard_join,
     language_id,
+    lexical_search,
     line_dedup,
     mixing,
     quality_rules,
@@ -99,6 +100,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -111,4 +118,5 @@ def llm_queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_html_extraction": op10_html_extraction,
+        "op12_lexical_search": op12_lexical_search,
     }
