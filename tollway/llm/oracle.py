@@ -155,5 +155,118 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def _least(*candidates: str) -> str:
+    """The cheapest of some lists of edits, the ASCII-least among these; null if there is none."""
+    return f"list_sort(list_filter([{', '.join(candidates)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _edit(told: str, cost: str, edit: str, turn: str = "''") -> str:
+    """`told` with one more edit; `turn` is what it adds to the repaired conversation."""
+    return (
+        f"CASE WHEN {told} IS NOT NULL THEN {{'c': {told}.c + {cost},"
+        f" 'a': {told}.a || '{edit}', 't': {told}.t || {turn}}} END"
+    )
+
+
+def _walk_sql() -> str:
+    """Recursive walk of conversations, cheapest edits by place: p0 none yet, p1 s, p2 u, p3 a."""
+
+    def insert(told: str, role: str) -> str:
+        return "(" + _edit(told, "2", "I", f"chr(10) || '{role}:'") + ")"
+
+    # before a row: with the turns inserted in front of it
+    u = _least("p2", insert("p0", "user"), insert("p1", "user"), insert("p3", "user"))
+    a = _least(
+        "p3",
+        insert("p2", "assistant"),
+        *[insert(insert(p, "user"), "assistant") for p in ("p0", "p1")],
+    )
+    to_user = _least("p0", "p1", _least("p3", insert("p2", "assistant")))
+    row, must = "chr(10) || role || ':' || text", "NOT must"
+
+    def after(place: int) -> str:
+        found = [_edit(f"p{place}", "3", "D")]
+        if place == 1:
+            found.append(f"CASE WHEN {must} AND initial = 's' THEN {_edit('p0', 'cut', 'K', row)} END")
+        if place in (2, 3):
+            role, initial, origin = (
+                ("user", "u", "before_u") if place == 2 else ("assistant", "a", "before_a")
+            )
+            kept = _edit(origin, "cut", "K", row)
+            rerole = _edit(origin, "2 + cut", "R", f"chr(10) || '{role}:' || text")
+            found.append(f"CASE WHEN {must} AND initial = '{initial}' THEN {kept} END")
+            found.append(f"CASE WHEN {must} THEN {rerole} END")
+        return _least(*found) + f" AS p{place}"
+
+    end = _least("p0", "p3", insert("p2", "assistant"), insert(insert("p1", "user"), "assistant"))
+    return f"""
+walk AS (
+  SELECT k, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS p0,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS p1,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS p2,
+    NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS p3
+  FROM conv
+  UNION ALL
+  SELECT k, i, {', '.join(after(p) for p in range(4))}
+  FROM (
+    SELECT w.k, w.i + 1 AS i, p0, p1, p2, p3, role, text, must, cut, initial,
+      {to_user} AS before_u, {_least("p2", *[f"({u})"])} AS before_a
+    FROM walk w JOIN told r ON r.k = w.k AND r.i = w.i + 1
+  )
+), ended AS (
+  SELECT k, i, {end} AS e FROM walk
+)"""
+
+
+OP11 = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), hit AS (
+  SELECT keyed.*, xor(list_reduce(
+      [4294967295] || list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % 20 AS h
+  FROM keyed, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hit WHERE h <> 0
+), conv AS (
+  SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS k FROM (SELECT DISTINCT conv_id FROM conversations)
+), numbered AS (
+  SELECT k, turn, role, text, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    right(regexp_replace(text, '{_SPACE}+$', ''), 1) NOT IN ('.', '!', '?') AS open
+  FROM damaged d JOIN conv c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+), again AS (
+  SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again FROM numbered
+), told AS (
+  SELECT *, blank OR again AS must, CAST(open AS INTEGER) AS cut,
+    lag(initial) OVER (PARTITION BY k ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM again
+), counts AS (
+  SELECT k, max(i) AS n,
+    CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+    count_if(open AND NOT must) AS truncated, count_if(illegal) AS illegal
+  FROM told GROUP BY k
+), {_walk_sql()}
+SELECT conv_id, coalesce(gaps, 0) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM conv LEFT JOIN counts USING (k) LEFT JOIN ended ON ended.k = conv.k AND ended.i = coalesce(n, 0)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op8_line_dedup": OP8, "op12_lexical_search": OP12}
+    return {"op2_secret_scans": OP2, "op3_quality_rules": OP3, "op8_line_dedup": OP8, "op11_conversation_repair": OP11, "op12_lexical_search": OP12}

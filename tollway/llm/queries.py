@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.llm import (
+    conversation_repair,
     decontamination,
     html_extraction,
     jaccard_join,
@@ -100,6 +101,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's audit after some of its turns were damaged."""
+    conversations = table(spark, sf_dir, "conversations")
+    told = conversation_repair.audit(conversation_repair.damaged(conversations))
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    every = conversations.select(F.col("conv_id").alias("every")).distinct()
+    return every.join(told, F.col("every").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every").alias("conv_id"),
+        *[F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in told.columns if c != "conv_id"],
+    )
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -118,5 +131,6 @@ def llm_queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_html_extraction": op10_html_extraction,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_lexical_search": op12_lexical_search,
     }
