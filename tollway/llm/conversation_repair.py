@@ -391,7 +391,7 @@ def _large_stream(rows: DataFrame) -> DataFrame:
     order = ["conv", "known", "turn", "role", "key"]
     keyed = rows.withColumn("key", F.md5("text"))
     end = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
-    initial = F.locate(F.left("role", F.lit(1)), F.lit("sua"))
+    initial = F.position(F.left("role", F.lit(1)), F.lit("sua"))
     kind = F.when((initial > 0) & (F.col("role") != ""), initial - 1).otherwise(3) * 2
     kind = kind + F.when(end.isin(*STOPS), 0).otherwise(1)
     # the first of equal rows is in the walk, the others are repeats of it

@@ -11,7 +11,7 @@ scores: a task keeps the best `k` documents of each item, so what it sends is bo
 items. The best of all tasks are found in two steps, so that no task ranks an item's rows of the
 whole cluster.
 
-Bounds. The items are cut into blocks of `BLOCK_BYTES` of terms, by measured size (one item may be
+Bounds. The items are cut into blocks of `BLOCK_BYTES` of terms, by measured size (a single item may be
 more); documents are scanned for one block after the other, against the same counts, so the blocks
 change no score. A block's terms and its documents' counts go through the driver. In a task, texts
 are scanned in pieces of `PIECE_BYTES`, cut at separators, and scored `CELLS` pairs of document
@@ -195,23 +195,23 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def _blocks(terms: DataFrame) -> Iterator[Block]:
     """The items in blocks of measured size."""
-    size = F.octet_length("term") + 16
-    n, largest = 1, None
-    while True:
-        block = F.pmod(F.xxhash64("item"), F.lit(n)).alias("block")
-        of_item = terms.groupBy(block, "item").agg(F.sum(size).alias("size"))
-        found = of_item.groupBy("block").agg(F.sum("size").alias("size"), F.max("size").alias("item"))
-        largest = found.agg(F.max("size"), F.max("item")).first()
-        if not largest[0] or largest[0] <= max(BLOCK_BYTES, largest[1]):
-            break
-        n *= 2
-    for k in range(n) if largest[0] else ():
+    size = F.sum(F.octet_length("term") + 16).alias("size")
+    total = terms.agg(size).first()[0] or 0
+    n = 64 * (total // BLOCK_BYTES + 1)
+    bucket = F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
+    ranges: list[list[int]] = []
+    room = 0
+    for r in sorted(terms.groupBy(bucket.alias("bucket")).agg(size).collect()):  # n rows
+        if r["size"] > room:
+            ranges.append([r["bucket"], r["bucket"]])
+            room = BLOCK_BYTES
+        ranges[-1][1] = r["bucket"]
+        room -= r["size"]
+    for first, last in ranges:
         own: dict[Any, dict[str, int]] = {}
-        mine = terms.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        for r in mine.collect():  # the block's size was measured
+        for r in terms.where(bucket.between(first, last)).collect():  # its size was measured
             own.setdefault(r["item"], {})[r["term"]] = r["times"]
-        if own:
-            yield Block(list(own.items()))
+        yield Block(list(own.items()))
 
 
 def _counts(texts: DataFrame, key: str, sent: Any, n_terms: int) -> tuple[int, int, np.ndarray]:

@@ -20,6 +20,7 @@ from tollway.llm import (
     secret_scan,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 from tollway.llm.columns import table
 
@@ -119,6 +120,15 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.remainder("doc_id") == 2, F.lit(False))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -133,4 +143,5 @@ def llm_queries() -> dict[str, Query]:
         "op10_html_extraction": op10_html_extraction,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_lexical_search": op12_lexical_search,
+        "op13_toxicity": op13_toxicity,
     }
