@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf_dir):

@@ -7,9 +7,11 @@ calibrated number of bytes, and how much the best of them save.
 
 Training. Of the labelled documents that are not held out, up to `MAX_LABELLED` of each label are
 taken by the hash of their id (all others are never read for this). Two thirds of them train the
-dictionaries: Spark counts in how many toxic and ordinary documents each word is; what is told
-apart by these counts (likelihood ratio) fills the toxic dictionary, most telling words last,
-where zstandard finds them cheapest, and the most frequent words of ordinary text the other.
+dictionaries: Spark counts in how many toxic and ordinary documents each word is; words that are told
+apart by these counts (likelihood ratio) fill the toxic dictionary, most telling words last, where
+zstandard finds them cheapest, and the most frequent words of ordinary text the other, which is as
+long. Documents that share their least five-word shingle, as near copies mostly do, count as one and
+are in one part, so that copies neither make words telling nor check themselves.
 The remaining third calibrates: how telling a word must be (`LEAST_TELLING`), how many bytes a
 window must save (`LEAST_SAVED`) and the weights of a logistic regression are those with the
 least loss there, each label weighted by its true number. Only words' counts (at most `MAX_WORDS`
@@ -38,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +53,16 @@ MAX_WORDS = 512
 LEAST_TELLING = (12.0, 20.0, 30.0, 50.0, 100.0, 200.0)
 #: Choices of how many bytes a window must save to count.
 LEAST_SAVED = tuple(range(1, 9))
-WINDOW, STEP = 4, 3
+WINDOW, STEP = 3, 2
 WORD_CHARS = 24
 PIECE_CHARS = 1 << 18
 SPAN = 16
 TOXIC_AT = 0.3
 
+#: Stands behind every window and in front of both dictionaries, so that each window has a match to
+#: tell. The first match costs as much as a short word saves; this way both frames have paid for it.
+_PHRASE = bytes(b for b in range(27) if b not in b"\t\n\r")
+
 _WORD = re.compile(rf"[^\W_]{{1,{WORD_CHARS}}}")
 
 
@@ -80,16 +87,16 @@ def windows(text: str | None) -> Iterator[bytes]:
     """Windows of `WINDOW` words, each `STEP` words after the one before; all words are in one."""
     left: list[str] = []
     some = False
-    for words in _words(text or ""):
-        words = left + words
+    for more in _words(text or ""):
+        some_words = left + more
         at = 0
-        while len(words) - at >= WINDOW:
-            yield f" {' '.join(words[at : at + WINDOW])} ".encode()
+        while len(some_words) - at >= WINDOW:
+            yield f" {' '.join(some_words[at : at + WINDOW])} ".encode() + _PHRASE
             at += STEP
             some = True
-        left = words[at:]
+        left = some_words[at:]
     if len(left) > (WINDOW - STEP if some else 0) or not some:
-        yield f" {' '.join(left)} ".encode()
+        yield f" {' '.join(left)} ".encode() + _PHRASE
 
 
 class Distance:
@@ -170,11 +177,11 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 
 
 def _dictionary(words: list[str]) -> bytes:
-    return f" {' '.join(words)} ".encode()
+    return _PHRASE + f" {' '.join(words)} ".encode()
 
 
 def _learnable(labels: DataFrame, id_col: str, label_col: str, max_labelled: int):
-    """(id, toxic, calibrates) of the documents to learn from, and how many there are of each label."""
+    """(id, toxic) of the documents to learn from, and how many there are of each label."""
     toxic = F.max((F.col(label_col) != 0).cast("int")).alias("toxic")
     all_of = (
         labels.where(F.col(label_col).isNotNull() & (remainder(id_col) != 2))
@@ -185,24 +192,44 @@ def _learnable(labels: DataFrame, id_col: str, label_col: str, max_labelled: int
     of = {r["toxic"]: r["n"] for r in all_of.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("id")
     taken = [all_of.where(F.col("toxic") == t).orderBy(order, "id").limit(max_labelled) for t in (0, 1)]
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3)) == 0
-    return taken[0].unionAll(taken[1]).withColumn("calibrates", fold), of
+    return taken[0].unionAll(taken[1]), of
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic and ordinary documents that have it) of each batch."""
+def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of five words in a row; near copies mostly share it."""
+    for batch in batches:
+        least = []
+        for text in batch.column(0).to_pylist():
+            best, before = None, []
+            for some in _words(text or ""):
+                ws = before + some
+                for i in range(max(len(ws) - 4, 1)):
+                    h = xxhash.xxh64_intdigest(" ".join(ws[i : i + 5])) >> 1
+                    best = h if best is None or h < best else best
+                before = ws[-4:]
+            least.append(best or 0)
+        columns = [batch.column(0), batch.column(1), pa.array(least, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["text", "toxic", "least"])
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(least shingle, word, in toxic text, in ordinary text) of each batch, once each."""
     for batch in batches:
-        toxic: Counter[str] = Counter()
-        ordinary: Counter[str] = Counter()
-        for text, is_toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if is_toxic else ordinary).update({w for ws in _words(text or "") for w in ws})
-        words = list(toxic | ordinary)
-        counts = [pa.array([c[w] for w in words], pa.int64()) for c in (toxic, ordinary)]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], ["word", "toxic", "ordinary"])
+        seen: dict[tuple[int, str], int] = {}
+        for text, is_toxic, least in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            bit = 1 if is_toxic else 2
+            for w in {w for some in _words(text or "") for w in some}:
+                seen[least, w] = seen.get((least, w), 0) | bit
+        columns = [
+            pa.array([least for least, _ in seen], pa.int64()),
+            pa.array([w for _, w in seen], pa.string()),
+            *[pa.array([x & bit > 0 for x in seen.values()], pa.bool_()) for bit in (1, 2)],
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["least", "word", "toxic", "ordinary"])
 
 
 def _ratio(n_toxic: int, n_ordinary: int) -> Column:
-    """How sure it is that toxic documents have a word more often: likelihood ratio, 0 if not."""
+    """How sure it is that toxic text has a word more often: likelihood ratio, 0 if not."""
     n = n_toxic + n_ordinary
     have = F.col("toxic") + F.col("ordinary")
 
@@ -231,30 +258,38 @@ def train(
     chosen, of = _learnable(labels, id_col, label_col, max_labelled)
     share = of.get(1, 0) / max(sum(of.values()), 1)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = store(texts.join(chosen, "id").select("text", "toxic", "calibrates"), "toxicity-labelled")
+    rows = texts.join(chosen, "id").select("text", "toxic")
+    rows = rows.mapInArrow(_least_shingles, "text string, toxic int, least long")
+    rows = store(
+        rows.withColumn("calibrates", F.pmod(F.xxhash64("least"), F.lit(3)) == 0), "toxicity-labelled"
+    )
     grouped = rows.groupBy("calibrates", "toxic").agg(F.count("*").alias("n"))
     n = {(r["calibrates"], r["toxic"]): r["n"] for r in grouped.collect()}
     learn = [n.get((False, 1), 0), n.get((False, 0), 0)]
     if not all(learn):
         return Model(share=share)
 
-    words = (
-        rows.where(~F.col("calibrates"))
-        .select("text", "toxic")
-        .mapInArrow(_count_words, "word string, toxic long, ordinary long")
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    learned = rows.where(~F.col("calibrates"))
+    found = (
+        learned.select("text", "toxic", "least")
+        .mapInArrow(_vocabulary, "least long, word string, toxic boolean, ordinary boolean")
+        .groupBy("least", "word")
+        .agg(F.bool_or("toxic").alias("toxic"), F.bool_or("ordinary").alias("ordinary"))
     )
-    words = store(words.withColumn("ratio", _ratio(*learn)), "toxicity-words")
+    seen = [F.count_if(c).alias(c) for c in ("toxic", "ordinary")]
+    total = learned.groupBy("toxic").agg(F.count_distinct("least").alias("n")).collect()
+    texts_of = {r["toxic"]: r["n"] for r in total}
+    vocabulary = found.groupBy("word").agg(*seen).withColumn("ratio", _ratio(texts_of[1], texts_of[0]))
+    vocabulary = store(vocabulary, "toxicity-words")
     telling = [
         (r["word"], r["ratio"])
-        for r in words.where(F.col("ratio") >= min(LEAST_TELLING))
+        for r in vocabulary.where(F.col("ratio") >= min(LEAST_TELLING))
         .orderBy(F.desc("ratio"), "word")
         .limit(MAX_WORDS)
         .collect()
     ]
     usual = [
-        r["word"] for r in words.where("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(MAX_WORDS).collect()
+        r["word"] for r in vocabulary.where("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(MAX_WORDS).collect()
     ]
     choices = []
     for least in LEAST_TELLING:
