@@ -383,6 +383,39 @@ _final["stream_daily_expenditure"] = _final["daily_expenditure"]
 _final["stream_toll_notifications"] = _final["toll_notifications"]
 _final["stream_account_balance"] = _final["account_balance"]
 _final["stream_notifications"] = _final["notification_lines"]
+_final["stream_disordered_notifications"] = _final["notification_lines"]
+# eight slices by arrival; each has the watermark of those before it
+_final["stream_late_reports"] = """
+  WITH arriving AS (
+    SELECT *, time + (CAST(vid AS BIGINT) * 7919 + time * 1047 + typ * 31) % 51
+      + CASE WHEN (CAST(vid AS BIGINT) * 31 + time) % 97 = 0 THEN 400 ELSE 0 END AS arrival
+    FROM road
+  ), slices AS (
+    SELECT *, arrival * 8 // ((SELECT max(time) FROM road) + 50 + 400 + 1) AS slice FROM arriving
+  ), passed AS (
+    SELECT slice, max(max(time)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60
+      AS watermark
+    FROM slices GROUP BY slice
+  )
+  SELECT vid, time, speed, xway, lane, dir, segment, position
+  FROM slices JOIN passed USING (slice) WHERE typ = 0 AND time < watermark"""
+_final["stream_state_expiry"] = """
+  WITH gaps AS (
+    SELECT *, lead(time) OVER w AS next_time,
+      CASE WHEN time - lag(time) OVER w > 120 THEN 1 ELSE 0 END AS anew
+    FROM reports WINDOW w AS (PARTITION BY xway, dir, vid ORDER BY time)
+  ), heard AS (
+    SELECT *, sum(anew) OVER (PARTITION BY xway, dir, vid ORDER BY time) AS period FROM gaps
+  ), stood AS (
+    SELECT *, lag(position, 3) OVER w IS NOT NULL
+      AND max(position) OVER last4 = min(position) OVER last4
+      AND max(lane) OVER last4 = min(lane) OVER last4 AS was_stopped
+    FROM heard
+    WINDOW w AS (PARTITION BY xway, dir, vid, period ORDER BY time),
+      last4 AS (PARTITION BY xway, dir, vid, period ORDER BY time ROWS 3 PRECEDING)
+  )
+  SELECT vid, xway, dir, time AS last_time, time + 120 AS expired_time, was_stopped
+  FROM stood WHERE next_time IS NULL OR next_time - time > 120"""
 _final["stream_word_count"] = _final["word_count"]
 
 

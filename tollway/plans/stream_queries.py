@@ -11,9 +11,9 @@ from tollway.operators.words import word_count, words
 from tollway.plans.live import LivePath
 from tollway.plans.queries import Query, live_path
 from tollway.sources import roads
-from tollway.sources.lines import format_lines
+from tollway.sources.lines import event_line, format_lines, parse_events
 from tollway.sources.workdir import new_folder
-from tollway.streaming import live, replay, windows
+from tollway.streaming import event_time, live, replay, state, windows
 
 # A micro-batch takes in one slice; there are as many as keep it within this size. State is
 # spread so that a task handles about so many of its events.
@@ -87,6 +87,84 @@ _over_events(
 )
 
 
+# Event time. Lines arrive up to LAG seconds late, which the watermark waits for; of some, where the
+# query is about late reports, VERY_LATE seconds.
+SLICES, LAG, VERY_LATE, IDLE = 8, 50, 400, 120
+
+
+def _out_of_order(
+    spark: SparkSession,
+    sf_dir: str,
+    build: Callable[[DataFrame, DataFrame], DataFrame],
+    name: str,
+    very_late: bool = False,
+) -> str:
+    """Feed the road events in order of arrival; the folder of answers and late reports."""
+    path = live_path(spark, sf_dir)
+    vid, time = F.col("vid").cast("bigint"), F.col("time")
+    arrival = time + (vid * 7919 + time * 1047 + F.col("typ") * 31) % (LAG + 1)
+    if very_late:
+        arrival += F.when((vid * 31 + time) % 97 == 0, VERY_LATE).otherwise(0)
+    span = path.params.horizon + LAG + VERY_LATE + 1
+    at = F.call_function("div", arrival * SLICES, F.lit(span)).alias("slice")
+    events, out = path.events.count(), new_folder(spark, f"{name}-out")
+    files = max(1, events // SLICES // EVENTS_PER_TASK // 10)
+    tasks = max(spark.sparkContext.defaultParallelism, events // SLICES // EVENTS_PER_TASK)
+    partitions = min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def start(lines: DataFrame, checkpoint: str):
+        rows = build(parse_events(lines), path.history)
+        trigger = {"availableNow": True}
+        return event_time.start_two_sinks(rows, out, checkpoint, trigger, partitions)
+
+    lines = path.events.select(event_line().alias("value"), at)
+    replay.in_one_start(spark, lines, SLICES, start, name, 2 * span + IDLE, partitions, files)
+    return out
+
+
+def _disordered_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to lines out of order are those of the batch."""
+    out = _out_of_order(
+        spark, sf_dir, lambda e, h: event_time.ordered_answers(e, h, DELAY), "disordered"
+    )
+    return event_time.read_sink(spark, out, "answers", "value string").select("value")
+
+
+def _late_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports behind the watermark, from the second sink."""
+    out = _out_of_order(
+        spark, sf_dir, lambda e, h: event_time.ordered_answers(e, h, DELAY), "late", True
+    )
+    return event_time.read_sink(spark, out, "late", event_time.LATE_ROW).drop("batch_id", "ingest_ms")
+
+
+def _state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles that left the state, and when: no report for IDLE seconds."""
+    path = live_path(spark, sf_dir)
+    out, span = new_folder(spark, "expiry-out"), path.params.horizon + LAG + VERY_LATE + 1
+    schema = state.EXPIRED
+
+    def start(lines: DataFrame, checkpoint: str):
+        states = event_time.ordered_states(parse_events(lines), DELAY, IDLE)
+        return (
+            event_time.expired_vehicles(states, IDLE)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    sliced = replay.by_time(format_lines(path.events), path.params.horizon, SLICES)
+    replay.in_one_start(spark, sliced, SLICES, start, "expiry", 2 * span + IDLE)
+    return spark.read.schema(schema).parquet(out)
+
+
+_queries["stream_disordered_notifications"] = _disordered_notifications
+_queries["stream_late_reports"] = _late_reports
+_queries["stream_state_expiry"] = _state_expiry
+
+
 def _word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals over the documents, read as a stream; the last batch has them all."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollway.functions import affected_segments, toll_amount
-from tollway.operators import reports as rep
-from tollway.operators.tolls import daily_expenditure, notification_line
+from tollway.operators.tolls import notification_line
 from tollway.operators.vehicles import VEHICLE
 from tollway.schema import (
     ACCOUNT_BALANCE,
@@ -93,18 +92,23 @@ def late_reports(vehicle_states: DataFrame) -> DataFrame:
     return vehicle_states.where("late").select(*REPORT_COLUMNS, "counted", "ingest_ms")
 
 
-def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFrame:
-    """`toll_notifications` for a stream of vehicle states."""
+def segment_answers(vehicle_states: DataFrame, params: Params = Params()) -> DataFrame:
+    """`toll_stream`, with late reports passing through in `report`, as lines, if they are kept.
+
+    States of the event-time path may have `expired`: such a row is no report, but ends a stop.
+    """
     asks = F.col("is_crossing") & (F.col("lane") != EXIT_LANE)
-    none = F.lit(0)
+    none, no_report = F.lit(0), F.lit(None).cast("string")
+    in_order = "expired" in vehicle_states.columns
 
-    def to_segment(segment, distance, delta):
+    def to_segment(segment, distance, delta, report=no_report):
         is_report = delta is None
         return F.struct(
             segment.alias("segment"),
             distance.alias("distance"),
             (F.lit(0) if is_report else delta).alias("delta"),
             (asks if is_report else F.lit(False)).alias("asks"),
+            report.alias("report"),
         )
 
     began = F.col("stop_began")
@@ -113,12 +117,18 @@ def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFra
         affected_segments(stop_segment, "dir", params),
         lambda s, i: to_segment(s, i, F.when(began, 1).otherwise(-1)),
     )
-    own = F.array(to_segment(F.col("segment"), none, None))
+    if in_order:
+        line = F.concat_ws(",", *[F.col(c).cast("string") for c in REPORT_COLUMNS])
+        late = F.when(F.col("late"), line)
+        own = F.array(to_segment(F.col("segment"), none, None, late))
+        own = F.when(~F.col("expired"), own).otherwise(F.slice(own, 1, 0))
+    else:
+        own = F.array(to_segment(F.col("segment"), none, None))
+        vehicle_states = vehicle_states.where("counted")
     rows = F.when(began | F.col("stop_ended"), F.concat(own, warned)).otherwise(own)
     kept = ["vid", "time", "speed", "xway", "dir", "new_minute", "ingest_ms"]
     answers = (
-        vehicle_states.where("counted")
-        .select(*kept, F.explode(rows).alias("r"))
+        vehicle_states.select(*kept, F.explode(rows).alias("r"))
         .select(*kept, "r.*")
         .groupBy(*SEGMENT)
         .transformWithState(
@@ -132,13 +142,24 @@ def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFra
     return answers.withColumn("toll", toll)
 
 
+def toll_stream(vehicle_states: DataFrame, params: Params = Params()) -> DataFrame:
+    """`toll_notifications` for a stream of vehicle states."""
+    return segment_answers(vehicle_states, params).drop("report")
+
+
 def account_stream(tolls: DataFrame, requests: DataFrame) -> DataFrame:
     """Toll, alert and balance messages for streams of tolls and requests.
 
     Requests for a day's expenditure pass through; they come with their answer as `toll`.
     """
     wanted = ["vid", "xway", "time", "dir", "lav", "toll", "accident_segment", "ingest_ms"]
+    requests = requests.select(
+        "typ", "vid", "time", "xway", "qid", "ingest_ms",
+        F.col("toll") if "toll" in requests.columns else F.lit(None).cast("bigint").alias("toll"),
+    )
+    wanted += [F.col("report") if "report" in tolls.columns else F.lit(None).alias("report")]
     told = tolls.select(F.lit(POSITION_REPORT).alias("typ"), *wanted)
+    told = told.withColumn("report", F.col("report").cast("string"))
     return (
         told.unionByName(requests, allowMissingColumns=True)
         .groupBy("vid", "xway")
@@ -151,9 +172,29 @@ def account_stream(tolls: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def past_tolls(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """Requests with the past toll of their day as `toll`; null if they ask for none, or unknown.
+
+    The history is loaded into the state of (vid, xway), as its initial state: Spark reads it in the
+    first micro-batch only, and later ones look the day up.
+    """
+    return (
+        requests.select("typ", "vid", "xway", "day", "time", "qid", "ingest_ms")
+        .groupBy("vid", "xway")
+        .transformWithState(
+            statefulProcessor=state.ExpenditureProcessor(DAILY_EXPENDITURE),
+            outputStructType=state.ANSWERED,
+            outputMode="Append",
+            timeMode="None",
+            initialState=history.select("vid", "xway", "day", "toll").groupBy("vid", "xway"),
+        )
+    )
+
+
 def daily_expenditure_stream(events: DataFrame, history: DataFrame) -> DataFrame:
-    """Answers to requests for a day's expenditure, from the static toll history."""
-    return daily_expenditure(rep.expenditure_requests(events), history)
+    """Answers to requests for a day's expenditure, from the toll history."""
+    answered = past_tolls(events.where(F.col("typ") == DAILY_EXPENDITURE), history)
+    return answered.select("vid", "time", "xway", "qid", "day", F.col("toll").cast("int"))
 
 
 def balance_request_stream(events: DataFrame) -> DataFrame:
@@ -165,19 +206,12 @@ def balance_request_stream(events: DataFrame) -> DataFrame:
 def answer_stream(events: DataFrame, history: DataFrame, params: Params = Params()) -> DataFrame:
     """Every answer to a stream of events, as in `all_notifications`, with `ingest_ms`.
 
-    The source is read by two branches, reports and requests. Balance requests ask for no
-    day, so the join with the history leaves them as they are.
+    The source is read by two branches, reports and requests.
     """
     tolls = toll_stream(vehicle_state_stream(events, params), params)
-    asked_day = F.when(F.col("typ") == DAILY_EXPENDITURE, F.col("day"))
-    requests = (
-        events.where(F.col("typ").isin(ACCOUNT_BALANCE, DAILY_EXPENDITURE))
-        .withColumn("day", asked_day)
-        .join(history, ["vid", "xway", "day"], "left")
-        .withColumn("toll", F.col("toll").cast("bigint"))
-        .select("typ", "vid", "time", "xway", "qid", "toll", "ingest_ms")
-    )
-    return account_stream(tolls, requests)
+    asked = events.where(F.col("typ").isin(ACCOUNT_BALANCE, DAILY_EXPENDITURE))
+    requests = past_tolls(asked, history)
+    return account_stream(tolls, requests).drop("report")
 
 
 def line_stream(answers: DataFrame, with_latency: bool = True) -> DataFrame:

@@ -79,6 +79,39 @@ def replayed(
     return spark.read.schema(schema[0]).parquet(out)
 
 
+def in_one_start(
+    spark: SparkSession,
+    sliced: DataFrame,
+    slices: int,
+    start: Callable[[DataFrame, str], object],
+    name: str,
+    closing: int,
+    partitions: int | None = None,
+    files: int = 1,
+):
+    """Run `start(line stream, checkpoint)` once over all slices, a micro-batch for each.
+
+    A slice is `files` files. Behind the last one comes a line that is no report or request, at
+    second `closing`: it moves the watermark past everything, so that what waits is told.
+    """
+    staged, inbox, checkpoint = (
+        new_folder(spark, f"{name}-{part}") for part in ("staged", "in", "state")
+    )
+    sliced.repartition("slice").write.partitionBy("slice").text(staged)
+    layout = "value string, slice bigint"
+    for i in range(slices):
+        part = spark.read.schema(layout).text(staged).where(F.col("slice") == i).select("value")
+        part.repartition(files).write.mode("append").text(inbox)
+    last = f"-1,{closing}" + ",-1" * 13
+    end = spark.range(files).select(F.lit(last).alias("value"))
+    end.repartition(files).write.mode("append").text(inbox)
+    lines = read_line_stream(spark, "text", path=inbox, maxFilesPerTrigger=files)
+    with stream_settings(spark, partitions):
+        query = start(lines, checkpoint)
+        query.awaitTermination()
+    return query
+
+
 def batches(
     totals: DataFrame,
     checkpoint: str,

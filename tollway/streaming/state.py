@@ -19,14 +19,17 @@ VEHICLE_STATE = (
 
 SEGMENT_ANSWER = (
     "vid int, time bigint, xway int, dir int, segment int, lav int, nov bigint, "
-    "accident_segment int, ingest_ms bigint"
+    "accident_segment int, ingest_ms bigint, report string"
 )
 
 ACCOUNT_ANSWER = (
     "typ int, vid int, time bigint, xway int, lav int, toll bigint, dir int, "
-    "accident_segment int, qid string, balance bigint, ingest_ms bigint"
+    "accident_segment int, qid string, balance bigint, ingest_ms bigint, report string"
 )
 
+# The type of a row that tells of a late report, beside those of the answers, 0 to 3.
+LATE_REPORT = 9
+
 
 class VehicleProcessor(StatefulProcessor):
     """Per (xway, dir, vid): the last report and how often its place was reported in a row.
@@ -34,21 +37,31 @@ class VehicleProcessor(StatefulProcessor):
     The seconds of the reports of the last `late_seconds` are kept too. A report overtaken by a
     later one is told as `late`: it starts and ends no stop and asks for no toll, but is `counted`
     in its minute, unless it is a copy or comes later than that.
+
+    A report more than `leap_seconds` after the one before is taken for a bad clock's, and told as
+    late, until another one within that time of it says that the vehicle was away so long.
     """
 
     def __init__(
-        self, stop_reports: int, feet_per_segment: int, exit_lane: int, late_seconds: int = 300
+        self,
+        stop_reports: int,
+        feet_per_segment: int,
+        exit_lane: int,
+        late_seconds: int = 300,
+        leap_seconds: int = 86_400,
     ):
         self.stop_reports = stop_reports
         self.feet_per_segment = feet_per_segment
         self.exit_lane = exit_lane
         self.late_seconds = late_seconds
+        self.leap_seconds = leap_seconds
 
     def init(self, handle) -> None:
         self.last = handle.getValueState(
             "last",
             "time bigint, position int, lane int, segment int, counter bigint, seen array<bigint>",
         )
+        self.doubt = handle.getValueState("doubt", "time bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         last, seen = self.last.get(), []
@@ -68,40 +81,52 @@ class VehicleProcessor(StatefulProcessor):
                     if counted:
                         seen.append(r.time)
                 continue
-            time, position, lane, segment, counter = last or (None, 0, 0, 0, 0)
-            minute = r.time // 60 + 1
-            first = time is None
-            same = not first and (position, lane) == (r.position, r.lane)
-            count = counter + 1 if same else 1
-            yield Row(
-                vid=r.vid,
-                time=r.time,
-                speed=r.speed,
-                xway=r.xway,
-                lane=r.lane,
-                dir=r.dir,
-                segment=r.segment,
-                position=r.position,
-                minute=minute,
-                is_stopped=count >= self.stop_reports,
-                is_crossing=first
-                or r.segment != position // self.feet_per_segment
-                or lane == self.exit_lane,
-                new_minute=first or minute != time // 60 + 1,
-                stop_began=count == self.stop_reports,
-                stop_ended=not same and counter >= self.stop_reports,
-                last_lane=lane,
-                last_position=position,
-                last_segment=segment,
-                ingest_ms=r.ingest_ms,
-                late=False,
-                counted=True,
-            )
-            last = (r.time, r.position, r.lane, r.segment, count)
+            if last is not None and r.time > last[0] + self.leap_seconds:
+                doubted = self.doubt.get()
+                if doubted is None or abs(r.time - doubted[0]) > self.leap_seconds:
+                    self.doubt.update((r.time,))
+                    yield self._late(r, False, False)
+                    continue
+                self.doubt.clear()
+            last, row = self._next(last, r)
+            yield row
             seen = [t for t in seen if t > r.time - self.late_seconds] + [r.time]
         if last is not None:
             self.last.update((*last, seen))
 
+    def _next(self, last, r):
+        """The vehicle's state after a report, and what the report comes to."""
+        time, position, lane, segment, counter = last or (None, 0, 0, 0, 0)
+        minute = r.time // 60 + 1
+        first = time is None
+        same = not first and (position, lane) == (r.position, r.lane)
+        count = counter + 1 if same else 1
+        row = Row(
+            vid=r.vid,
+            time=r.time,
+            speed=r.speed,
+            xway=r.xway,
+            lane=r.lane,
+            dir=r.dir,
+            segment=r.segment,
+            position=r.position,
+            minute=minute,
+            is_stopped=count >= self.stop_reports,
+            is_crossing=first
+            or r.segment != position // self.feet_per_segment
+            or lane == self.exit_lane,
+            new_minute=first or minute != time // 60 + 1,
+            stop_began=count == self.stop_reports,
+            stop_ended=not same and counter >= self.stop_reports,
+            last_lane=lane,
+            last_position=position,
+            last_segment=segment,
+            ingest_ms=r.ingest_ms,
+            late=False,
+            counted=True,
+        )
+        return (r.time, r.position, r.lane, r.segment, count), row
+
     @staticmethod
     def _late(r, counted, new_minute):
         return Row(
@@ -137,16 +162,19 @@ class SegmentProcessor(StatefulProcessor):
     Rows are reports of the segment, or stops that begin and end up to a few segments ahead
     (`delta` 1 and -1, with `distance`). An answer depends on the minute alone, so of the
     reports only those that ask are kept until the micro-batch's sums are complete.
+
+    The sums kept are those of the `kept_minutes` that had a report last, whatever their numbers are:
+    a report of a bad clock takes the place of one minute, and no other report is lost by it.
     """
 
     def __init__(self, lav_minutes: int, crash_vehicles: int, late_minutes: int = 5):
         self.lav_minutes = lav_minutes
         self.crash_vehicles = crash_vehicles
-        self.late_minutes = late_minutes
+        self.kept_minutes = 4 * (lav_minutes + late_minutes)
 
     def init(self, handle) -> None:
         self.sums = handle.getMapState(
-            "minutes", "minute bigint", "speed bigint, reports bigint, nov bigint"
+            "minutes", "minute bigint", "speed bigint, reports bigint, nov bigint, touched bigint"
         )
         # vehicles standing; minute the open accident began in; the last one to clear
         self.ahead = handle.getMapState(
@@ -155,10 +183,20 @@ class SegmentProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         xway, direction, segment = key
-        sums = {k[0]: tuple(v) for k, v in self.sums.iterator()}
-        kept = set(sums)
+        blank = dict.fromkeys(("lav", "nov", "accident_segment", "report"))
+
+        def answer(**fields):
+            return Row(**{**blank, "xway": xway, "dir": direction, "segment": segment, **fields})
+
+        sums, told = {}, {}  # when each minute was last touched, counted in touches
+        for k, v in self.sums.iterator():
+            sums[k[0]], told[k[0]] = tuple(v)[:3], v[3]
+        kept, clock = set(sums), max(told.values(), default=0)
         asking, changes, touched = [], {}, set()
         for r in rows:
+            if r.report is not None:
+                yield answer(report=r.report, vid=r.vid, time=r.time, ingest_ms=r.ingest_ms)
+                continue
             if r.delta:
                 at = (r.distance, r.time)
                 changes[at] = changes.get(at, 0) + r.delta
@@ -181,25 +219,16 @@ class SegmentProcessor(StatefulProcessor):
                     segment + step * min(ahead) if ahead else -1,
                 )
             lav, nov, accident = found[minute]
-            yield Row(
-                vid=vid,
-                time=time,
-                xway=xway,
-                dir=direction,
-                segment=segment,
-                lav=lav,
-                nov=nov,
-                accident_segment=accident,
-                ingest_ms=ingest_ms,
+            yield answer(
+                vid=vid, time=time, lav=lav, nov=nov, accident_segment=accident, ingest_ms=ingest_ms
             )
 
-        oldest = max(sums, default=0) - self.lav_minutes - self.late_minutes
-        for m in kept:
-            if m < oldest:
-                self.sums.removeKey((m,))
-        for m in touched:
-            if m >= oldest:
-                self.sums.updateValue((m,), sums[m])
+        told |= {m: clock + 1 + i for i, m in enumerate(sorted(touched))}
+        left = set(sorted(told, key=told.get)[-self.kept_minutes :])
+        for m in kept - left:
+            self.sums.removeKey((m,))
+        for m in touched & left:
+            self.sums.updateValue((m,), (*sums[m], told[m]))
 
     def _traffic(self, sums, minute):
         """Mean speed of the minutes before, rounded half up, and vehicles of the last one."""
@@ -244,7 +273,7 @@ class AccountProcessor(StatefulProcessor):
     """Per (vid, xway): the sum of the tolls told and the last one, which is not yet due.
 
     Rows are tolls (`typ` 0), balance requests (2), and requests for a day's expenditure (3),
-    which bring their answer with them in `toll`.
+    which bring their answer with them in `toll`. Late reports pass through.
     """
 
     def init(self, handle) -> None:
@@ -254,7 +283,7 @@ class AccountProcessor(StatefulProcessor):
         told, latest = self.account.get() or (0, 0)
         changed = False
         blank = dict.fromkeys(
-            ("lav", "toll", "dir", "accident_segment", "qid", "balance"), None
+            ("lav", "toll", "dir", "accident_segment", "qid", "balance", "report"), None
         )
 
         def answer(r, typ, **fields):
@@ -263,7 +292,9 @@ class AccountProcessor(StatefulProcessor):
 
         # a toll told in the second of a request counts as told
         for r in sorted(rows, key=lambda r: (r.time, r.typ)):
-            if r.typ == 3:
+            if r.report is not None:
+                yield answer(r, LATE_REPORT, report=r.report)
+            elif r.typ == 3:
                 yield answer(r, 3, qid=r.qid, toll=r.toll)
             elif r.typ == 2:
                 yield answer(r, 2, qid=r.qid, balance=told - latest)
@@ -277,3 +308,186 @@ class AccountProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+ORDERED_STATE = VEHICLE_STATE + ", expired boolean"
+
+EXPIRED = (
+    "vid int, xway int, dir int, last_time bigint, expired_time bigint, was_stopped boolean"
+)
+
+
+class OrderedVehicleProcessor(VehicleProcessor):
+    """`VehicleProcessor` in event time: reports wait until the watermark has passed them.
+
+    So their order of arrival does not matter as long as no report comes after the watermark; those
+    that do are told as late and take no part. Of copies, and of differing reports of one second,
+    the smallest counts. A vehicle that sends nothing for `idle_seconds` leaves the state, which is
+    told as a row that has `expired`; if it stood, its stop ends with it.
+    """
+
+    def __init__(self, *rules, clock_start: int, idle_seconds: int | None = None, **more):
+        super().__init__(*rules, **more)
+        self.clock_start = clock_start
+        self.idle_seconds = idle_seconds
+
+    def _ms(self, time):
+        """A second of the recording on the clock that the watermark is told on."""
+        return (self.clock_start + time) * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState(
+            "last", "time bigint, position int, lane int, segment int, counter bigint"
+        )
+        self.waiting = handle.getMapState(
+            "waiting",
+            "time bigint",
+            "speed int, lane int, segment int, position int, ingest_ms bigint",
+        )
+
+    def handleInputRows(self, key, rows, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        best = {}
+        for r in rows:
+            if self._ms(r.time) < watermark:
+                yield Row(**self._late(r, False, False).asDict(), expired=False)
+                continue
+            report = (r.speed, r.lane, r.segment, r.position, r.ingest_ms)
+            if r.time not in best or report[:4] < best[r.time][:4]:
+                best[r.time] = report
+        for time, report in best.items():
+            known = self.waiting.getValue((time,))
+            if known is None:
+                # a timer fires when the watermark has reached it
+                self.handle.registerTimer(self._ms(time) + 1)
+            if known is None or report[:4] < tuple(known)[:4]:
+                self.waiting.updateValue((time,), report)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        xway, direction, vid = key
+        last = self.last.get()
+        last = None if last is None else tuple(last)
+        due = sorted(k[0] for k in self.waiting.keys() if self._ms(k[0]) < watermark)
+        for time in due:
+            speed, lane, segment, position, ingest_ms = self.waiting.getValue((time,))
+            self.waiting.removeKey((time,))
+            if last is not None and self._idle(last, self._ms(time)):
+                yield self._expired(key, last)
+                last = None
+            report = Row(
+                vid=vid, time=time, speed=speed, xway=xway, lane=lane, dir=direction,
+                segment=segment, position=position, ingest_ms=ingest_ms,
+            )
+            last, row = self._next(last, report)
+            yield Row(**row.asDict(), expired=False)
+        if last is not None and self._idle(last, watermark):
+            yield self._expired(key, last)
+            self.last.clear()
+        elif due:
+            self.last.update(last)
+            if self.idle_seconds is not None:
+                self.handle.registerTimer(self._ms(last[0] + self.idle_seconds) + 1)
+
+    def _idle(self, last, now_ms: int) -> bool:
+        return self.idle_seconds is not None and self._ms(last[0] + self.idle_seconds) < now_ms
+
+    def _expired(self, key, last):
+        xway, direction, vid = key
+        time, position, lane, segment, counter = last
+        stood = counter >= self.stop_reports
+        report = Row(
+            vid=vid, time=time + self.idle_seconds, speed=0, xway=xway, lane=lane, dir=direction,
+            segment=segment, position=position, ingest_ms=None,
+        )
+        row = self._late(report, False, False).asDict()
+        return Row(**{**row, "late": False, "stop_ended": stood, "expired": True})
+
+
+class WaitingRequestProcessor(StatefulProcessor):
+    """Per (vid, xway): requests wait until the watermark has passed them, like the reports.
+
+    A request that comes after the watermark is answered at once. Copies of a request that waits,
+    and of one answered within the last `kept_seconds`, are dropped.
+    """
+
+    def __init__(self, clock_start: int, kept_seconds: int):
+        self.clock_start = clock_start
+        self.kept_seconds = kept_seconds
+
+    def _ms(self, time):
+        return (self.clock_start + time) * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState(
+            "seen", "typ int, time bigint, qid string", "toll bigint, ingest_ms bigint, told boolean"
+        )
+
+    def _row(self, key, typ, time, qid, toll, ingest_ms):
+        vid, xway = key
+        return Row(typ=typ, vid=vid, time=time, xway=xway, qid=qid, toll=toll, ingest_ms=ingest_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            asked = (r.typ, r.time, r.qid)
+            if self.seen.containsKey(asked):
+                continue
+            late = self._ms(r.time) < watermark
+            if late:
+                yield self._row(key, *asked, r.toll, r.ingest_ms)
+            if late and self._ms(r.time + self.kept_seconds) < watermark:
+                continue
+            self.seen.updateValue(asked, (r.toll, r.ingest_ms, late))
+            self.handle.registerTimer(self._ms(r.time + (self.kept_seconds if late else 0)) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = [(tuple(k), tuple(v)) for k, v in self.seen.iterator()]
+        for asked, (toll, ingest_ms, told) in sorted(waiting, key=lambda x: (x[0][1], x[0][0])):
+            if self._ms(asked[1]) >= watermark:
+                continue
+            if not told:
+                yield self._row(key, *asked, toll, ingest_ms)
+                self.seen.updateValue(asked, (toll, ingest_ms, True))
+                self.handle.registerTimer(self._ms(asked[1] + self.kept_seconds) + 1)
+            elif self._ms(asked[1] + self.kept_seconds) < watermark:
+                self.seen.removeKey(asked)
+
+    def close(self) -> None:
+        pass
+
+
+ANSWERED = (
+    "typ int, vid int, xway int, day int, time bigint, qid string, toll bigint, ingest_ms bigint"
+)
+
+
+class ExpenditureProcessor(StatefulProcessor):
+    """Per (vid, xway): the tolls of past days, from the initial state, which answer requests.
+
+    Only requests of type `asks` look a day up; the others pass through.
+    """
+
+    def __init__(self, asks: int):
+        self.asks = asks
+
+    def init(self, handle) -> None:
+        self.days = handle.getMapState("days", "day int", "toll bigint")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.days.updateValue((initialState.day,), (initialState.toll,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        vid, xway = key
+        for r in rows:
+            known = self.days.getValue((r.day,)) if r.typ == self.asks else None
+            yield Row(
+                typ=r.typ, vid=vid, xway=xway, day=r.day, time=r.time, qid=r.qid,
+                toll=None if known is None else known[0], ingest_ms=r.ingest_ms,
+            )
+
+    def close(self) -> None:
+        pass
