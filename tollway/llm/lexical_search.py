@@ -15,7 +15,7 @@ Bounds. The items are cut into blocks of `BLOCK_BYTES` of terms, by measured siz
 more); documents are scanned for one block after the other, against the same counts, so the blocks
 change no score. A block's terms and its documents' counts go through the driver. In a task, texts
 are scanned in pieces of `PIECE_BYTES`, cut at separators, and scored `CELLS` pairs of document
-and item at a time. A very long text costs a few bytes for each of its own beyond that.
+and item, or of a term found and an item that has it, at a time. A very long text costs a few bytes for each of its own beyond that.
 
 Terms are runs of letters, digits and all characters beyond ASCII; only A-Z are lower-cased.
 
@@ -48,7 +48,7 @@ from tollway.llm.hashing import groups, text_bytes
 BEST = 20
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
-CELLS = 1 << 21
+CELLS = 1 << 20
 SALTS = 32
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -169,11 +169,19 @@ def scores_of(
 ) -> np.ndarray:
     """Scores of the documents for all items, from (document, term, times) and each document's `m`."""
     value = weight[term] * ((1_000_000_000 * times) // (1000 * times + 12 * m[doc]))
-    n = block.first[term + 1] - block.first[term]
-    at = np.repeat(block.first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    links = block.first[term + 1] - block.first[term]
     scores = np.zeros(len(m) * len(block.ids), np.int64)
-    cell = np.repeat(doc * len(block.ids), n) + block.item[at]
-    np.add.at(scores, cell, np.repeat(value, n) * block.times[at])
+    # a term that many items have stands for as many rows; CELLS of them at a time
+    ends = np.cumsum(links)
+    begin = 0
+    while begin < len(term):
+        before = ends[begin] - links[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + CELLS, "right")))
+        n, own = links[begin:end], term[begin:end]
+        at = np.repeat(block.first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(doc[begin:end] * len(block.ids), n) + block.item[at]
+        np.add.at(scores, cell, np.repeat(value[begin:end], n) * block.times[at])
+        begin = end
     return scores.reshape(len(m), len(block.ids))
 
 
