@@ -142,6 +142,15 @@ def answer_lines(answers: DataFrame) -> DataFrame:
     )
 
 
+def lines_by_topic(answers: DataFrame, topic: str, late_topic: str) -> DataFrame:
+    """Answers and late reports as lines, with the `topic` they are for, as a broker's sink takes."""
+    is_late = F.col("typ") == state.LATE_REPORT
+    return answers.select(
+        F.when(is_late, late_topic).otherwise(topic).alias("topic"),
+        F.when(is_late, F.col("report")).otherwise(notification_line(None)).alias("value"),
+    )
+
+
 def two_sinks(out: str) -> Callable[[DataFrame, int], None]:
     """A sink for answers and late reports: `out/answers` and `out/late`, from one pass.
 
