@@ -69,3 +69,32 @@ def test_cut_groups_are_shuffled_once(spark, sf_dir):
 def test_statistics_are_summed_before_the_shuffle(spark, sf_dir):
     plan = _plan(q.batch_queries()["segment_minute_stats"](spark, sf_dir))
     assert plan.index("functions=[sum(") < plan.index("hashpartitioning") < plan.index("partial_sum(")
+
+
+def test_history_is_not_moved(spark, sf_dir):
+    """Requests go to the buckets of the history; only they are shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _final_plan(q.live_path(spark, sf_dir).expenditures)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1
+    assert "Bucketed: true" in final
+    # nothing but the join and its sort between the scan of the history and the result
+    history = final[final.index("SortMergeJoin") :].split("ReadSchema")[-2:]
+    assert "toll" in final and "Exchange" not in history[-1]
+
+
+def test_history_opens_in_its_buckets_again(spark, tmp_path):
+    from tollway.schema import TOLL_HISTORY
+    from tollway.sources.history import open_toll_history, store_toll_history
+
+    rows = [(v, d, x, v + d) for v in range(30) for d in (1, 2) for x in (0, 1)]
+    folder = str(tmp_path / "it's a history")
+    history = spark.createDataFrame(rows, TOLL_HISTORY)
+    assert sorted(map(tuple, store_toll_history(history, folder, 6).collect())) == sorted(rows)
+    spark.sql("DROP TABLE " + next(t.name for t in spark.catalog.listTables() if t.name.startswith("toll_history")))
+    again = open_toll_history(spark, folder, 6)
+    assert sorted(map(tuple, again.collect())) == sorted(rows)

@@ -32,7 +32,7 @@ def live_path(spark: SparkSession, sf_dir: str) -> LivePath:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _params:
         _params[key] = measured(events)
-    history = roads.road_history(spark, sf_dir)
+    history = roads.road_history_table(spark, sf_dir)
     # the projection numbers a user's events, so no two reports of theirs have one time
     return LivePath(events, history, _params[key], has_copies=False)
 

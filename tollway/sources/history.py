@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tollway.schema import TOLL_HISTORY
 
 
 KEY = ("vid", "day", "xway")
+BUCKET_KEY = ("vid", "xway", "day")
 
 
 def _history_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +54,45 @@ def read_toll_history(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _table_name(folder: str) -> str:
+    return f"toll_history_{zlib.crc32(folder.encode()):08x}"
+
+
+def store_toll_history(history: DataFrame, folder: str, buckets: int | None = None) -> DataFrame:
+    """The history written once as a table in buckets of (vid, xway, day), each of them sorted.
+
+    Requests are joined with it without moving it: only the requests are shuffled, to its buckets.
+    There are at least as many buckets as shuffle partitions, since Spark deals both sides anew
+    where there are fewer. `folder` has to be one that all executors reach; `open_toll_history`
+    opens it in another session.
+    """
+    spark = history.sparkSession
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        history.select(*TOLL_HISTORY.fieldNames())
+        .repartition(buckets, *BUCKET_KEY)  # one file a bucket
+        .write.format("parquet")
+        .bucketBy(buckets, *BUCKET_KEY)
+        .sortBy(*BUCKET_KEY)
+        .option("path", folder)
+        .saveAsTable(_table_name(folder))
+    )
+    return spark.table(_table_name(folder))
+
+
+def open_toll_history(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
+    """A history that `store_toll_history` wrote, with the buckets it was written in."""
+    name, key = _table_name(folder), ", ".join(BUCKET_KEY)
+    columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in TOLL_HISTORY)
+    place = folder.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
+        f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{place}'"
+    )
+    return spark.table(name)
+
+
 def toll_history_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The lines of the history that are neither blank nor well-formed."""
     return _history_lines(spark, path).where(~_is_good()).select("value")

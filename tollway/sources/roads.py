@@ -19,10 +19,11 @@ from tollway.schema import (
     POSITION_REPORT,
 )
 from tollway.sources import workdir
-from tollway.sources.history import read_toll_history
+from tollway.sources.history import open_toll_history, read_toll_history, store_toll_history
 from tollway.sources.lines import event_line, read_lines
 
 HISTORY_DAYS = 69
+HISTORY_BUCKETS = 8
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -184,6 +185,17 @@ def road_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_toll_history(spark, path)
 
 
+def road_history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one row a key, as a table in buckets that is written once."""
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), HISTORY_BUCKETS)
+
+    def write(path: str) -> None:
+        store_toll_history(road_history(spark, sf_dir), path, buckets)
+
+    path = _once_written(spark, sf_dir, "toll_history_table", write)
+    return open_toll_history(spark, path, buckets)
+
+
 def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input lines, read back as text."""
 
