@@ -416,6 +416,15 @@ _final["stream_state_expiry"] = """
   )
   SELECT vid, xway, dir, time AS last_time, time + 120 AS expired_time, was_stopped
   FROM stood WHERE next_time IS NULL OR next_time - time > 120"""
+_final["stream_state_audit"] = """
+  SELECT 'account' AS kind, vid, xway, CAST(sum(toll) AS BIGINT) AS told,
+    arg_max(toll, time) AS latest, CAST(NULL AS INTEGER) AS dir, CAST(NULL AS INTEGER) AS position,
+    CAST(NULL AS INTEGER) AS lane, CAST(NULL AS BIGINT) AS last_time, CAST(NULL AS BIGINT) AS reports
+  FROM tolls GROUP BY vid, xway
+  UNION ALL
+  SELECT 'stop', vid, xway, NULL, NULL, dir, position, lane, time, counter FROM (
+    SELECT *, row_number() OVER (PARTITION BY xway, dir, vid ORDER BY time DESC) AS back FROM counted)
+  WHERE back = 1 AND counter >= 4"""
 _final["stream_word_count"] = _final["word_count"]
 
 

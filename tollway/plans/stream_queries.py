@@ -13,7 +13,7 @@ from tollway.plans.queries import Query, live_path
 from tollway.sources import roads
 from tollway.sources.lines import event_line, format_lines, parse_events
 from tollway.sources.workdir import new_folder
-from tollway.streaming import event_time, live, replay, state, windows
+from tollway.streaming import audit, event_time, live, replay, state, windows
 
 # A micro-batch takes in one slice; there are as many as keep it within this size. State is
 # spread so that a task handles about so many of its events.
@@ -160,6 +160,27 @@ def _state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def _state_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts and open stops in the state of the live path, at the end of the recording."""
+    path = live_path(spark, sf_dir)
+    out = new_folder(spark, "audit-out")
+
+    def start(lines: DataFrame, checkpoint: str):
+        answers = live.answer_stream(parse_events(lines), path.history)
+        return (
+            live.line_stream(answers, with_latency=False)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    sliced = replay.by_time(format_lines(path.events), path.params.horizon, 2)
+    return audit.audit(spark, replay.run_slices(spark, sliced, 2, start, "audit"))
+
+
+_queries["stream_state_audit"] = _state_audit
 _queries["stream_disordered_notifications"] = _disordered_notifications
 _queries["stream_late_reports"] = _late_reports
 _queries["stream_state_expiry"] = _state_expiry

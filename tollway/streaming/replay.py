@@ -34,8 +34,8 @@ def run_slices(
     start: Callable[[DataFrame, str], object],
     name: str,
     partitions: int | None = None,
-) -> None:
-    """Run `start(line stream, checkpoint)` to the end of each slice in turn.
+) -> str:
+    """Run `start(line stream, checkpoint)` to the end of each slice in turn; the checkpoint.
 
     The lines are laid out by slice first, so that each of them is read once more only.
     """
@@ -49,6 +49,7 @@ def run_slices(
         part.where(F.col("slice") == i).select("value").write.mode("append").text(inbox)
         with stream_settings(spark, partitions):
             start(read_line_stream(spark, "text", path=inbox), checkpoint).awaitTermination()
+    return checkpoint
 
 
 def replayed(
