@@ -50,6 +50,37 @@ def _over_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame])
     _queries[name] = query
 
 
+def _over_closed(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Register `build(event stream)`, fed with the road events and the line that closes them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = live_path(spark, sf_dir)
+        out, events = new_folder(spark, f"{name}-out"), path.events.count()
+        slices = max(2, -(-events // EVENTS_PER_SLICE))
+        tasks = max(spark.sparkContext.defaultParallelism, events // slices // EVENTS_PER_TASK)
+        partitions = min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        schema = []
+
+        def start(lines: DataFrame, checkpoint: str):
+            rows = build(parse_events(lines))
+            schema[:] = [rows.schema]
+            return (
+                rows.writeStream.format("parquet")
+                .option("path", out)
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .start()
+            )
+
+        sliced = replay.by_time(format_lines(path.events), path.params.horizon, slices)
+        files = max(1, events // slices // EVENTS_PER_TASK // 10)
+        closing = path.params.horizon + 3600  # past every window and session
+        replay.in_one_start(spark, sliced, slices, start, name, closing, partitions, files)
+        return spark.read.schema(schema[0]).parquet(out)
+
+    _queries[name] = query
+
+
 def _source_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw lines, bad ones included, through the source and the parser."""
     lines = roads.road_lines(spark, sf_dir)
@@ -63,10 +94,10 @@ _over_events(
     "stream_vehicle_state",
     lambda e, h: live.vehicle_state_stream(e).drop("ingest_ms", "late", "counted"),
 )
-_over_events("stream_lav", lambda e, h: windows.lav_stream(e, DELAY))
-_over_events("stream_nov_distinct", lambda e, h: windows.nov_distinct_stream(e, DELAY))
-_over_events("stream_report_count", lambda e, h: windows.report_count_stream(e, DELAY))
-_over_events("stream_vehicle_trips", lambda e, h: windows.trip_stream(e, DELAY))
+_over_closed("stream_lav", lambda e: windows.lav_stream(e, DELAY))
+_over_closed("stream_nov_distinct", lambda e: windows.nov_distinct_stream(e, DELAY))
+_over_closed("stream_report_count", lambda e: windows.report_count_stream(e, DELAY))
+_over_closed("stream_vehicle_trips", lambda e: windows.trip_stream(e, DELAY))
 _over_events("stream_daily_expenditure", live.daily_expenditure_stream)
 _over_events(
     "stream_toll_notifications",

@@ -15,9 +15,13 @@ from tollway.schema import POSITION_REPORT, SEGMENT, SEGMENT_MINUTE, Params
 
 
 def timed_reports(events: DataFrame, delay_seconds: int) -> DataFrame:
-    """Position reports with their event time and a watermark that much behind it."""
-    reports = rep.with_event_time(events.where(F.col("typ") == POSITION_REPORT))
-    return reports.withWatermark("event_ts", f"{delay_seconds} seconds")
+    """Position reports with their event time, and a watermark that much behind all events.
+
+    The filter names the event time, so that it stays above the watermark: a request, or the line
+    that closes a recording, moves it too.
+    """
+    timed = rep.with_event_time(events).withWatermark("event_ts", f"{delay_seconds} seconds")
+    return timed.where(F.when(F.col("event_ts").isNotNull(), F.col("typ")) == POSITION_REPORT)
 
 
 def _seconds(ts: Column) -> Column:
@@ -26,12 +30,21 @@ def _seconds(ts: Column) -> Column:
 
 
 def lav_stream(events: DataFrame, delay_seconds: int, params: Params = Params()) -> DataFrame:
-    """Mean speed of the five minutes before each minute, by a window sliding by minutes."""
-    span = F.window("event_ts", f"{params.lav_minutes} minutes", "1 minute")
-    return (
+    """Mean speed of the five minutes before each minute.
+
+    Two windows in a chain: reports are summed by minute, one row of state for each, and a window
+    that slides by minutes sums the minutes that are complete, not the reports five times.
+    """
+    minutes = (
         timed_reports(events, delay_seconds)
-        .groupBy(span, *SEGMENT)
+        .groupBy(F.window("event_ts", "1 minute"), *SEGMENT)
         .agg(F.sum("speed").alias("speed_sum"), F.count("*").alias("reports"))
+        .select(F.window_time("window").alias("minute_ts"), *SEGMENT, "speed_sum", "reports")
+    )
+    span = F.window("minute_ts", f"{params.lav_minutes} minutes", "1 minute")
+    return (
+        minutes.groupBy(span, *SEGMENT)
+        .agg(F.sum("speed_sum").alias("speed_sum"), F.sum("reports").alias("reports"))
         .select(
             *SEGMENT,
             minute_of(_seconds(F.col("window.end"))).alias("minute"),
