@@ -414,6 +414,8 @@ _final["stream_state_expiry"] = """
   )
   SELECT vid, xway, dir, time AS last_time, time + 120 AS expired_time, was_stopped
   FROM stood WHERE next_time IS NULL OR next_time - time > 120"""
+_final["cut_vehicle_state"] = _final["vehicle_state"]
+_final["cut_notification_lines"] = _final["notification_lines"]
 _final["stream_state_audit"] = """
   SELECT 'account' AS kind, vid, xway, CAST(sum(toll) AS BIGINT) AS told,
     arg_max(toll, time) AS latest, CAST(NULL AS INTEGER) AS dir, CAST(NULL AS INTEGER) AS position,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,23 @@ _on_path(
 _on_path("all_notifications", lambda p: p.notifications)
 _on_path("notification_lines", lambda p: tol.notification_lines(p.notifications))
 
+
+# The form for recordings longer than a group may be: groups are cut along time, and each step is
+# written. Here the pieces are short, so that all vehicles and segments are cut several times.
+CUT_SECONDS, CUT_MINUTES = 600, 10
+
+
+def _cut_path(spark: SparkSession, sf_dir: str) -> LivePath:
+    path = live_path(spark, sf_dir)
+    params = replace(path.params, piece_seconds=CUT_SECONDS, piece_minutes=CUT_MINUTES)
+    return LivePath(path.events, path.history, params, has_copies=False)
+
+
+_queries["cut_vehicle_state"] = lambda spark, sf_dir: _cut_path(spark, sf_dir).state
+_queries["cut_notification_lines"] = lambda spark, sf_dir: tol.notification_lines(
+    _cut_path(spark, sf_dir).notifications
+)
+
 # Words
 _queries["word_count"] = lambda spark, sf_dir: wrd.word_count(
     wrd.words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
