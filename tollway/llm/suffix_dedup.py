@@ -14,7 +14,8 @@ meet, and arrays are built where they meet:
    least id go on; the others are known to be removed.
 2. Stretches are dealt by anchor into buckets of bounded size. Of a bucket, stretches whose anchor
    only one document has are done with, and equal ones need no sorting either. All other distinct
-   stretches are the text of a suffix array. Adjacent suffixes that agree in `LENGTH` bytes are one
+   stretches are the text of suffix arrays, of whole anchors and about `SORTED_BYTES` each: the work
+   needs some 25 bytes for each byte in an array, the rest of a bucket a few. Adjacent suffixes that agree in `LENGTH` bytes are one
    string, and its least id tells which of its occurrences go.
 3. The removed stretches of a document are merged where its text is.
 
@@ -42,6 +43,7 @@ LENGTH = 50  # bytes
 ANCHOR = 12  # bytes
 PIECE = 2 << 20  # bytes of text handled at once
 BUCKET_BYTES = 6 << 20  # bytes of text for each bucket
+SORTED_BYTES = 2 << 20  # bytes of stretches in one suffix array, if an anchor does not have more
 NO_ID = np.iinfo(np.int64).max
 
 _SPAN_SCHEMA = "home bigint, spans binary"
@@ -344,6 +346,20 @@ def _compare(homes: int):
     return run
 
 
+def _runs_of_groups(group: np.ndarray, length: np.ndarray) -> Iterator[slice]:
+    """Whole groups of stretches, about `SORTED_BYTES` of them at a time."""
+    if not len(group):
+        return
+    first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    bounds = np.append(first, len(group))
+    total = np.concatenate([[0], np.cumsum(length)])[bounds]
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + SORTED_BYTES, "right")) - 1)
+        yield slice(int(bounds[i]), int(bounds[j]))
+        i = j
+
+
 def _removed(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """(id, key, start, end) of all that one bucket's stretches tell to remove."""
     ids, keys, anchor, length, start = [], [], [], [], []
@@ -383,21 +399,22 @@ def _removed(rows: list[dict]) -> tuple[np.ndarray, ...]:
     gone = alone & (ids > least[string])
     out = [(ids[gone], keys[gone], start[gone], (start + length)[gone])]
     mixed = np.flatnonzero(~alone)
-    if len(mixed):
-        shown = np.flatnonzero(new & ~alone)
-        found = _least_ids(text, starts[shown], (starts + length)[shown], ids[shown])
-        n_windows = length[shown] - LENGTH + 1
+    shown = new & ~alone
+    for some in _runs_of_groups(group[mixed], length[mixed]):
+        rows = mixed[some]
+        mine = rows[shown[rows]]
+        found = _least_ids(text, starts[mine], (starts + length)[mine], ids[mine])
+        n_windows = length[mine] - LENGTH + 1
         at = np.cumsum(n_windows) - n_windows
-        nr = np.full(int(string.max()) + 1, -1)
-        nr[string[shown]] = np.arange(len(shown))
         # every occurrence has the windows of its string
-        of = nr[string[mixed]]
+        of = string[rows] - string[rows[0]]
+        of = np.searchsorted(string[mine] - string[rows[0]], of)
         count = n_windows[of]
         edges = np.cumsum(count) - count
         window = np.repeat(at[of] - edges, count) + np.arange(count.sum())
-        flags = found[window] < np.repeat(ids[mixed], count)
+        flags = found[window] < np.repeat(ids[rows], count)
         part, a, b = _runs(flags, edges)
-        who = mixed[part]
+        who = rows[part]
         begin = start[who] + a - edges[part]
         out.append((ids[who], keys[who], begin, start[who] + b - edges[part] + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*out))
