@@ -382,14 +382,14 @@ _final["stream_toll_notifications"] = _final["toll_notifications"]
 _final["stream_account_balance"] = _final["account_balance"]
 _final["stream_notifications"] = _final["notification_lines"]
 _final["stream_disordered_notifications"] = _final["notification_lines"]
-# eight slices by arrival; each has the watermark of those before it
+# four slices by arrival; each has the watermark of those before it
 _final["stream_late_reports"] = """
   WITH arriving AS (
     SELECT *, time + (CAST(vid AS BIGINT) * 7919 + time * 1047 + typ * 31) % 51
       + CASE WHEN (CAST(vid AS BIGINT) * 31 + time) % 97 = 0 THEN 400 ELSE 0 END AS arrival
     FROM road
   ), slices AS (
-    SELECT *, arrival * 8 // ((SELECT max(time) FROM road) + 50 + 400 + 1) AS slice FROM arriving
+    SELECT *, arrival * 4 // ((SELECT max(time) FROM road) + 50 + 400 + 1) AS slice FROM arriving
   ), passed AS (
     SELECT slice, max(max(time)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60
       AS watermark

@@ -120,7 +120,7 @@ _over_events(
 
 # Event time. Lines arrive up to LAG seconds late, which the watermark waits for; of some, where the
 # query is about late reports, VERY_LATE seconds.
-SLICES, LAG, VERY_LATE, IDLE = 8, 50, 400, 120
+SLICES, LAG, VERY_LATE, IDLE = 4, 50, 400, 120
 
 
 def _out_of_order(
