@@ -42,6 +42,7 @@ from tollway.llm.hashing import fold, groups, mix, shingle_sets, text_bytes
 
 GROUP_BYTES = 2 << 20  # of texts handled at once
 ALL_PAIRS = 32  # classes in a group that are all compared with each other
+FILTER_BITS = 1 << 26  # 8 MB, of the texts whose sets are read
 SKETCH = 8  # numbers of 64 bits
 BLOCK = 4_096  # classes of a large group in a block
 CELLS = 1 << 20  # pairs whose bitmaps are compared at once
@@ -243,13 +244,15 @@ def _links(
         ).select("a", "b", "a_rep", "b_rep", "a_n", "b_n"),
         "likely",
     )
-    wanted = (
+    wanted = store(
         likely.select(F.col("a").alias("class"), F.col("a_rep").alias("rep"))
         .unionAll(likely.select("b", "b_rep"))
-        .distinct()
+        .distinct(),
+        "wanted",
     )
+    few = _perhaps_in(texts, "row_key", wanted.select("rep"))
     sets = store(
-        texts.join(wanted, texts["row_key"] == wanted["rep"])
+        few.join(wanted, few["row_key"] == wanted["rep"])
         .select("class", "text")
         .mapInArrow(_read_sets(width), "class bigint, tokens array<bigint>"),
         "sets",
@@ -398,6 +401,32 @@ def _split_groups(large: DataFrame, links: DataFrame, info: DataFrame) -> DataFr
     )
 
 
+def _perhaps_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among `keys`: a filter of `FILTER_BITS` bits, sent to every task.
+
+    It has a row for each 32,768 bits, 8 MB together at most, however many keys there are; the more
+    there are, the more other rows pass.
+    """
+    (name,) = keys.columns
+
+    def bit(c):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    place = (bit(name) % 32_768).alias("place")
+    found = keys.select(F.shiftright(bit(name), 15).alias("_part"), place)
+    filters = found.groupBy("_part").agg(F.bitmap_construct_agg("place").alias("_filter"))
+    at = (bit(key) % 32_768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_filter"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10)
+    # bit k of a byte is worth 2 to the k
+    has = F.floor(byte.cast("int") / F.pow(F.lit(2), at % 8)) % 2 == 1
+    part = F.shiftright(bit(key), 15)
+    return (
+        rows.join(F.broadcast(store(filters, "filter")), part == F.col("_part"))
+        .where(has)
+        .select(*rows.columns)
+    )
+
+
 def _between_components(
     large: DataFrame, pairs: DataFrame, links: DataFrame, info: DataFrame, texts: DataFrame,
     width: int, num: int, den: int,
