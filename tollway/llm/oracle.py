@@ -49,7 +49,8 @@ _SECRETS = {
     ),
     "access": ("AKIA[A-Z0-9]+", 0, 18),
     "hex": ("[0-9a-f]+", 0, 16),
-    "private_key": ("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    "private_key": ("-----BEGIN (?:[A-Z]{1,20} ){0,8}PRIVATE KEY-----", 0, 0),
+    # RE2 cannot look behind; the same where no letter stands right before a token
     "web_token": (
         r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0,
     ),

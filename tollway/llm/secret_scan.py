@@ -62,11 +62,18 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{16,}"),
 )
 MORE_RULES = (
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    # few words, since the engine's stack grows with the times a group repeats
+    Rule(
+        "private_key",
+        2,
+        r"-----BEGIN (?:[A-Z]{1,20} ){0,8}PRIVATE KEY-----",
+        hint="PRIVATE KEY-----",
+    ),
+    # only at the start of a run of its letters, and nothing given back: each run is read a few times
     Rule(
         "web_token",
-        1,
-        r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+        2,
+        r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
         hint="eyJ",
     ),
 )
