@@ -13,11 +13,12 @@ meet, and arrays are built where they meet:
    one stretch, a fraction of the windows to move. Of equal stretches in a task only those of the
    least id go on; the others are known to be removed.
 2. Stretches are dealt by anchor into buckets of bounded size. Of a bucket, stretches whose anchor
-   only one document has are done with, and equal ones need no sorting either. All other distinct
-   stretches are the text of suffix arrays, of whole anchors and about `SORTED_BYTES` each: the work
+   only one document has are done with, and equal ones need no sorting either, nor do those none of
+   whose windows has the hash of another. All other distinct stretches are the text of suffix arrays,
+   of whole anchors and about `SORTED_BYTES` each: the work
    needs some 25 bytes for each byte in an array, the rest of a bucket a few. Adjacent suffixes that agree in `LENGTH` bytes are one
    string, and its least id tells which of its occurrences go.
-3. The removed stretches of a document are merged where its text is.
+3. The removed stretches of a document are merged where its text is sent, packed.
 
 Nulls and odd input: a null or empty text has no bytes. A null id comes after all others, and rows
 without one are each other's equals. Rows that share an id are one document to each other: they
@@ -51,7 +52,7 @@ _SPAN = np.dtype([("id", "<i8"), ("key", "<i8"), ("start", "<i8"), ("end", "<i8"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(x.tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
@@ -360,6 +361,23 @@ def _runs_of_groups(group: np.ndarray, length: np.ndarray) -> Iterator[slice]:
         i = j
 
 
+def _have_repeats(text: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the stretches of a text have a window whose hash comes twice or more.
+
+    Equal windows have equal hashes, so no other stretch can share a window; most share none, only
+    an anchor, and need no sorting.
+    """
+    n = length - LENGTH + 1
+    begin = np.repeat(np.cumsum(length) - length - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    own = Stretches(text).hash(begin, begin + LENGTH)
+    order = np.sort(own)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(twice):
+        return np.zeros(len(length), bool)
+    at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+    return np.bitwise_or.reduceat(twice[at] == own, np.cumsum(n) - n)
+
+
 def _removed(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """(id, key, start, end) of all that one bucket's stretches tell to remove."""
     ids, keys, anchor, length, start = [], [], [], [], []
@@ -403,9 +421,16 @@ def _removed(rows: list[dict]) -> tuple[np.ndarray, ...]:
     for some in _runs_of_groups(group[mixed], length[mixed]):
         rows = mixed[some]
         mine = rows[shown[rows]]
-        found = _least_ids(text, starts[mine], (starts + length)[mine], ids[mine])
         n_windows = length[mine] - LENGTH + 1
         at = np.cumsum(n_windows) - n_windows
+        # a window that no other string has is its own string's
+        found = np.repeat(ids[mine], n_windows)
+        again = _have_repeats(_gather(text, starts[mine], length[mine]), length[mine])
+        if again.any():
+            some = mine[again]
+            found[np.repeat(again, n_windows)] = _least_ids(
+                text, starts[some], (starts + length)[some], ids[some]
+            )
         # every occurrence has the windows of its string
         of = string[rows] - string[rows[0]]
         of = np.searchsorted(string[mine] - string[rows[0]], of)
@@ -426,9 +451,9 @@ def _finish(docs: pa.Table, found: pa.Table) -> pa.Table:
         [np.empty(0, _SPAN), *[_unpack(x, _SPAN) for x in found["spans"].to_pylist()]]
     )
     spans = spans[np.lexsort((spans["start"], spans["key"]))]
-    rows = []
-    for k, key, text in zip(*(docs[c].to_pylist() for c in ("id", "key", "text"))):
-        data = text.encode()
+    rows, unpack = [], zstandard.ZstdDecompressor().decompress
+    for k, key, packed in zip(*(docs[c].to_pylist() for c in ("id", "key", "text"))):
+        data = unpack(packed)
         a, b = np.searchsorted(spans["key"], [key, key + 1]) if key < NO_ID else (0, 0)
         mine = spans[a:b]
         mine = mine[mine["id"] == (NO_ID if k is None else k)]
@@ -461,7 +486,7 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .applyInArrow(_compare(n), _SPAN_SCHEMA),
         "removed-spans",
     )
-    at_home = keyed.mapInArrow(_with_home(n), "home bigint, id bigint, key bigint, text string")
+    at_home = keyed.mapInArrow(_with_home(n), "home bigint, id bigint, key bigint, text binary")
     result = (
         at_home.groupBy("home")
         .cogroup(found.groupBy("home"))
@@ -474,11 +499,14 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _with_home(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             key = np.asarray(batch.column(1)).astype(np.int64)
             home = (mix(key.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+            packed = [pack(text.encode()) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(home), *batch.columns], ["home", "id", "key", "text"]
+                [pa.array(home), batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
+                ["home", "id", "key", "text"],
             )
 
     return run
