@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 
 import numpy as np
-from helpers import documents
+import pyarrow as pa
+from helpers import documents, prose
+from pyspark.sql import functions as F
 from test_free import arrow, in_order, plain_removal
 
 from tollway.llm import jaccard_join, secret_scan, suffix_dedup
@@ -90,3 +92,32 @@ def test_the_filter_passes_all_that_is_wanted_and_little_else(spark):
     assert wanted <= left and len(left) < len(wanted) + 20
     none = spark.range(0).selectExpr("id AS rep")
     assert jaccard_join._perhaps_in(rows, "row_key", none).collect() == []
+
+
+def test_little_is_dealt_beside_the_texts():
+    rows = [(1_000_003 * i, prose(i, 300, 3000)) for i in range(400)]
+    key = np.zeros(len(rows), np.int64)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array(key), pa.array([r[1] for r in rows])], ["id", "key", "text"]
+    )
+    dealt = [r for b in suffix_dedup._deal(50, 50)(iter([batch])) for r in b.to_pylist()]
+    beside = sum(len(r["docs"]) + len(r["heads"]) for r in dealt if r["docs"] is not None)
+    assert beside < 0.3 * sum(len(t) for _, t in rows)
+
+
+def test_the_key_has_the_bits_that_shared_ids_take(spark):
+    def keys(rows):
+        docs = documents(spark, rows).select(F.col("doc_id").alias("id"), "text")
+        return {r[0] for r in docs.select(suffix_dedup._key(docs)).collect()}
+
+    assert keys([(i, f"text {i}") for i in range(50)] + [(3, "text 3")]) == {0}
+    short = keys([(None, f"text {i}") for i in range(20)])
+    assert len(short) == 20 and all(-(1 << 15) <= k < 1 << 15 for k in short)
+    assert len(keys([(7, f"text {i}") for i in range(3000)])) == 3000
+
+
+def test_texts_that_share_ids_keep_their_own_spans(spark):
+    passage = prose(1, 60)
+    rows = [(i % 3 or None, prose(10 + i, 15) + passage + prose(50 + i, i)) for i in range(12)] + [(0, passage)]
+    got = suffix_dedup.without_earlier(documents(spark, rows)).collect()
+    assert in_order(got) == plain_removal(rows)

@@ -20,6 +20,10 @@ meet, and arrays are built where they meet:
    string, and its least id tells which of its occurrences go.
 3. The removed stretches of a document are merged where its text is sent, packed.
 
+What is sent of a stretch is its text, length and place, and where in it the anchor is, from which the
+anchor is had again. A document goes by its id; only as many bits of its text's hash go with it as it
+takes to tell the texts of rows that share an id apart, none if no two such texts differ.
+
 Nulls and odd input: a null or empty text has no bytes. A null id comes after all others, and rows
 without one are each other's equals. Rows that share an id are one document to each other: they
 remove nothing from one another. Repeated rows keep their rows. Other columns, whatever their
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.llm.columns import store, whole
@@ -43,6 +47,7 @@ from tollway.llm.hashing import Stretches, mix
 LENGTH = 50  # bytes
 ANCHOR = 12  # bytes
 PIECE = 2 << 20  # bytes of text handled at once
+DEALT_BYTES = 8 << 20  # bytes of text whose stretches are dealt at once
 BUCKET_BYTES = 6 << 20  # bytes of text for each bucket
 SORTED_BYTES = 2 << 20  # bytes of stretches in one suffix array, if an anchor does not have more
 NO_ID = np.iinfo(np.int64).max
@@ -52,11 +57,15 @@ _SPAN = np.dtype([("id", "<i8"), ("key", "<i8"), ("start", "<i8"), ("end", "<i8"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(x.tobytes())
+    """The numbers byte by byte, all first bytes first, which packs better."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=6).compress(planes.tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def _words(data: np.ndarray, size: int) -> np.ndarray:
@@ -69,15 +78,25 @@ def _words(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of the window at each position that has one."""
+def _mixed(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The hash of short strings, of which these are four bytes each."""
+    h = first * np.uint32(0x9E3779B1)
+    h = (h ^ (h >> np.uint32(15))) + second * np.uint32(0x85EBCA77)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + third * np.uint32(0x27D4EB2F)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x165667B1)
+    return h ^ (h >> np.uint32(13))
+
+
+def short_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the short string at each position that has one."""
     four = _words(data, 4)
     n = len(data) - ANCHOR + 1
-    h = four[:n] * np.uint32(0x9E3779B1)
-    h = (h ^ (h >> np.uint32(15))) + four[4 : n + 4] * np.uint32(0x85EBCA77)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + four[8 : n + 8] * np.uint32(0x27D4EB2F)
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x165667B1)
-    width, least = 1, h ^ (h >> np.uint32(13))
+    return _mixed(four[:n], four[4 : n + 4], four[8 : n + 8])
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """The anchor of the window at each position that has one, by the hashes of the short strings."""
+    width, least = 1, hashes
     wanted = LENGTH - ANCHOR + 1
     while 2 * width <= wanted:
         least = np.minimum(least[:-width], least[width:])
@@ -86,22 +105,35 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, anchor) of the stretches of all pieces; `bounds` is where pieces begin."""
+def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, anchor, where in it the anchor is) of the stretches of all pieces.
+
+    `bounds` is where pieces begin.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint8)
     if len(data) < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-    least = anchors(data)
+        return none
+    hashes = short_hashes(data)
+    least = anchors(hashes)
     fits = np.ones(len(least), bool)
     for k in range(1, LENGTH):  # windows that would cross a bound
         at = bounds[1:-1] - k
         fits[at[(at >= 0) & (at < len(fits))]] = False
     at = np.flatnonzero(fits)
     if not len(at):
-        return at, at, np.empty(0, np.uint32)
+        return none
     breaks = np.flatnonzero((np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])) + 1
     first = np.concatenate([[0], breaks])
     last = np.append(breaks, len(at)) - 1
-    return at[first], at[last] + LENGTH, least[at[first]]
+    in_window = np.lib.stride_tricks.sliding_window_view(hashes, LENGTH - ANCHOR + 1)
+    where = in_window[at[first]].argmin(1).astype(np.uint8)
+    return at[first], at[last] + LENGTH, least[at[first]], where
+
+
+def _anchors_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of the short strings at some positions."""
+    four = text[at[:, None] + np.arange(ANCHOR)].view("<u4")
+    return _mixed(four[:, 0], four[:, 1], four[:, 2])
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -222,12 +254,19 @@ def _runs(flags: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return part[first], at[first], at[last]
 
 
+def _home(ids: np.ndarray, keys: np.ndarray, homes: int) -> np.ndarray:
+    """The group of documents that one with this id and key belongs to."""
+    of_id = mix(np.ascontiguousarray(ids, np.int64).view(np.uint64))
+    mixed = mix(of_id + np.ascontiguousarray(keys, np.int64).view(np.uint64))
+    return (mixed % np.uint64(homes)).astype(np.int64)
+
+
 def _spans(ids, keys, starts, ends, homes: int) -> Iterator[tuple[int, bytes]]:
     """Removed spans, packed for each home, the group of documents they belong to."""
     spans = np.empty(len(ids), _SPAN)
     spans["id"], spans["key"], spans["start"], spans["end"] = ids, keys, starts, ends
-    home = (mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(homes)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
+    home = _home(spans["id"], spans["key"], homes)
+    order = np.lexsort((spans["start"], spans["id"], home))
     spans, home = spans[order], home[order]
     cuts = np.flatnonzero(np.diff(home)) + 1
     for part in np.split(np.arange(len(home)), cuts) if len(home) else ():
@@ -236,7 +275,7 @@ def _spans(ids, keys, starts, ends, homes: int) -> Iterator[tuple[int, bytes]]:
 
 _STRETCH_NAMES = ["bucket", "docs", "heads", "texts", "home", "spans"]
 _STRETCH_SCHEMA = "bucket bigint, docs binary, heads binary, texts binary, home bigint, spans binary"
-_HEAD = np.dtype([("anchor", "<u4"), ("length", "<u4"), ("doc", "<u4"), ("start", "<u4")])
+_HEAD = np.dtype([("length", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("where", "u1")])
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -261,61 +300,82 @@ def _cut(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
 
 def _deal(buckets: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nr = 0
-        for batch in batches:
-            for pieces in _cut(batch):
-                rows = _deal_pieces(pieces, buckets, homes, nr)
-                nr += 1
-                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays(columns, _STRETCH_NAMES)
+        nr, some, size = 0, [], 0
+        for pieces in (p for batch in batches for p in _cut(batch)):
+            some.append(_stretches_of(pieces))
+            size += len(some[-1][0])
+            if size >= DEALT_BYTES:
+                yield _batch(_deal_stretches(some, buckets, homes, nr))
+                nr, some, size = nr + 1, [], 0
+        if some:
+            yield _batch(_deal_stretches(some, buckets, homes, nr))
 
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
     return run
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, _STRETCH_NAMES)
+
+
 def _deal_pieces(pieces, buckets: int, homes: int, nr: int) -> list[tuple]:
+    return _deal_stretches([_stretches_of(pieces)], buckets, homes, nr)
+
+
+def _stretches_of(pieces) -> tuple[np.ndarray, ...]:
+    """The bytes, ids and keys of pieces, and of their stretches the place in the bytes and in the
+    text, the end, the anchor and where it is, the piece and the hash."""
     ids = np.array([p[0] for p in pieces], np.int64)
     keys = np.array([p[1] for p in pieces], np.int64)
     offset = np.array([p[2] for p in pieces], np.int64)
     bounds = np.cumsum([0, *[len(p[3]) for p in pieces]])
     data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
-    starts, ends, anchor = stretches(data, bounds)
+    starts, ends, anchor, where = stretches(data, bounds)
     piece = np.searchsorted(bounds, starts, "right") - 1
+    at = starts - bounds[piece] + offset[piece]
     own = Stretches(data).hash(starts, ends)
+    return data, ids, keys, starts, at, ends, anchor, where, piece, own
+
+
+def _deal_stretches(some: list[tuple], buckets: int, homes: int, nr: int) -> list[tuple]:
+    sizes, pieces = [len(x[0]) for x in some], [len(x[1]) for x in some]
+    count = [len(x[3]) for x in some]
+    data, ids, keys, starts, at, ends, anchor, where, piece, own = map(np.concatenate, zip(*some))
+    shift = np.repeat(np.cumsum(sizes) - sizes, count)
+    starts, ends = starts + shift, ends + shift
+    piece = piece + np.repeat(np.cumsum(pieces) - pieces, count)
     order = np.lexsort((ids[piece], own))
-    starts, ends, anchor, piece, own = (x[order] for x in (starts, ends, anchor, piece, own))
+    starts, at, ends, anchor, where, piece, own = (
+        x[order] for x in (starts, at, ends, anchor, where, piece, own)
+    )
     new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.empty(0, bool)
     least = ids[piece[new]][np.cumsum(new) - 1]
     gone = ids[piece] > least
-    at = starts - bounds[piece] + offset[piece]
     rows = [
         (nr % buckets, None, None, None, home, spans)
         for home, spans in _spans(
             ids[piece[gone]], keys[piece[gone]], at[gone], (at + ends - starts)[gone], homes
         )
     ]
-    starts, ends, anchor, piece, at = (x[~gone] for x in (starts, ends, anchor, piece, at))
+    starts, at, ends, anchor, where, piece = (
+        x[~gone] for x in (starts, at, ends, anchor, where, piece)
+    )
     bucket = (mix(anchor.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((anchor, bucket))
-    bucket = bucket[order]
+    order = np.lexsort((starts, bucket))
+    bucket, starts, piece = bucket[order], starts[order], piece[order]
     heads = np.empty(len(order), _HEAD)
-    heads["anchor"], heads["length"] = anchor[order], (ends - starts)[order]
-    heads["doc"], heads["start"] = piece[order], at[order]
+    heads["length"], heads["start"], heads["where"] = (ends[order] - starts), at[order], where[order]
     if len(at) and at.max() >= 1 << 32:
         raise ValueError("a text of 4 GB or more")
     cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     for a, b in zip(cuts[:-1], cuts[1:]):
         mine = heads[a:b]
-        used, doc = np.unique(mine["doc"], return_inverse=True)
-        columns = [
-            np.diff(mine["anchor"], prepend=np.uint32(0)), mine["length"],
-            doc.astype(np.uint32), mine["start"],
-        ]
-        # column by column and byte by byte, which packs better
-        heads_packed = _pack(np.stack(columns).view(np.uint8).reshape(4, -1, 4).transpose(0, 2, 1))
-        texts = _gather(data, starts[order[a:b]], mine["length"].astype(np.int64))
-        docs = _pack(np.stack([ids[used], keys[used]]))
-        rows.append((int(bucket[a]), docs, heads_packed, _pack(texts), None, None))
+        used, doc = np.unique(piece[a:b], return_inverse=True)
+        mine["doc"] = np.diff(doc, prepend=0)
+        texts = _gather(data, starts[a:b], mine["length"].astype(np.int64))
+        docs = _pack(np.stack([np.diff(ids[used], prepend=0), keys[used]]))
+        rows.append((int(bucket[a]), docs, _pack(mine), _pack(texts), None, None))
     return rows
 
 
@@ -380,18 +440,20 @@ def _have_repeats(text: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _removed(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """(id, key, start, end) of all that one bucket's stretches tell to remove."""
-    ids, keys, anchor, length, start = [], [], [], [], []
+    ids, keys, anchor, length, start, text = [], [], [], [], [], []
     for r in rows:
         docs = _unpack(r["docs"], np.int64).reshape(2, -1)
-        heads = _unpack(r["heads"], np.uint8).reshape(4, 4, -1).transpose(0, 2, 1)
-        heads = np.ascontiguousarray(heads).view(np.uint32)[:, :, 0]
-        anchor.append(np.cumsum(heads[0], dtype=np.uint32))
-        length.append(heads[1].astype(np.int64))
-        ids.append(docs[0][heads[2]])
-        keys.append(docs[1][heads[2]])
-        start.append(heads[3].astype(np.int64))
-    ids, keys, anchor, length, start = map(np.concatenate, (ids, keys, anchor, length, start))
-    text = np.concatenate([_unpack(r["texts"], np.uint8) for r in rows])
+        heads, mine = _unpack(r["heads"], _HEAD), _unpack(r["texts"], np.uint8)
+        doc, size = np.cumsum(heads["doc"]), heads["length"].astype(np.int64)
+        ids.append(np.cumsum(docs[0])[doc])
+        keys.append(docs[1][doc])
+        length.append(size)
+        start.append(heads["start"].astype(np.int64))
+        anchor.append(_anchors_at(mine, np.cumsum(size) - size + heads["where"]))
+        text.append(mine)
+    ids, keys, anchor, length, start, text = map(
+        np.concatenate, (ids, keys, anchor, length, start, text)
+    )
     ends = np.cumsum(length)
     starts = ends - length
     own = _hash_all(text, starts, ends)
@@ -450,13 +512,14 @@ def _finish(docs: pa.Table, found: pa.Table) -> pa.Table:
     spans = np.concatenate(
         [np.empty(0, _SPAN), *[_unpack(x, _SPAN) for x in found["spans"].to_pylist()]]
     )
-    spans = spans[np.lexsort((spans["start"], spans["key"]))]
+    spans = spans[np.lexsort((spans["start"], spans["key"], spans["id"]))]
     rows, unpack = [], zstandard.ZstdDecompressor().decompress
     for k, key, packed in zip(*(docs[c].to_pylist() for c in ("id", "key", "text"))):
         data = unpack(packed)
-        a, b = np.searchsorted(spans["key"], [key, key + 1]) if key < NO_ID else (0, 0)
-        mine = spans[a:b]
-        mine = mine[mine["id"] == (NO_ID if k is None else k)]
+        of = NO_ID if k is None else k
+        mine = spans[np.searchsorted(spans["id"], of) : np.searchsorted(spans["id"], of, "right")]
+        a, b = np.searchsorted(mine["key"], key), np.searchsorted(mine["key"], key, "right")
+        mine = mine[a:b]
         kept, at, removed, runs = [], 0, 0, 0
         if len(mine):
             reach = np.maximum.accumulate(mine["end"])
@@ -475,8 +538,7 @@ def _finish(docs: pa.Table, found: pa.Table) -> pa.Table:
 def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text"))
-    # half of the numbers, so that the next one is a number too
-    keyed = rows.withColumn("key", F.shiftright(F.xxhash64("id", "text"), 1)).select("id", "key", "text")
+    keyed = rows.withColumn("key", _key(rows)).select("id", "key", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(least, size // BUCKET_BYTES)
@@ -497,12 +559,26 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.withColumnRenamed("id", id_col)
 
 
+def _key(rows: DataFrame) -> Column:
+    """What tells the texts of rows that share an id apart: a few bits of their hash, or all.
+
+    The stretches of a document carry it to every bucket, so it is as short as these rows allow.
+    """
+    whole_key = F.xxhash64("id", "text")
+    for key in (F.lit(0).cast("bigint"), F.shiftright(whole_key, 48), F.shiftright(whole_key, 32)):
+        shared = rows.select("id", key.alias("short"), whole_key.alias("key")).groupBy("id", "short")
+        differ = shared.agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
+        if differ.isEmpty():
+            return key
+    return whole_key
+
+
 def _with_home(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            key = np.asarray(batch.column(1)).astype(np.int64)
-            home = (mix(key.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+            ids = np.asarray(batch.column(0).fill_null(NO_ID))
+            home = _home(ids, np.asarray(batch.column(1)), homes)
             packed = [pack(text.encode()) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(home), batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
