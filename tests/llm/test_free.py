@@ -423,3 +423,30 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(found) == table[-1][-1]
         rest = iter(b)
         assert all(a[i] in rest for i in found)
+
+
+def test_pages_are_paired_over_the_whole_host(spark):
+    # one directory for each page, as of news sites; a host between the others in order; no id or URL twice
+    rows = [(i, f"http://a.b/news/{i}/title", f"{FRAME}<p>Menu of a.b</p><p>Page {i}</p>") for i in range(40)]
+    rows += [(50, "http://a.c/1/x", f"{FRAME}<p>Menu of a.b</p><p>Other</p>")]
+    want = [(i, f"Page {i}") for i in range(40)] + [(50, "Our shop\nMenu of a.b\nOther")]
+    for block in (1, 7, 1000):
+        got = html_extraction.extract(pages(spark, rows), block=block).collect()
+        assert in_order(r[0:3:2] for r in got) == in_order(want)
+    got = html_extraction.extract(pages(spark, rows), block_bytes=300).collect()
+    assert in_order(r[0:3:2] for r in got) == in_order(want)
+
+
+def test_blocks_do_not_change_the_partner(spark):
+    rng = random.Random(2)
+
+    def page():
+        return "".join(f"<p>line {rng.randrange(6)}</p>" for _ in range(8))
+
+    urls = [None, "", "http://h/", *[f"http://h{i % 3}/{rng.randrange(4)}/{rng.randrange(9)}?q={i % 2}" for i in range(60)]]
+    rows = [(rng.choice([None, 1, 2, i]), url, page()) for i, url in enumerate(urls)]
+    rows += rows[::3]
+    whole = html_extraction.extract(pages(spark, rows)).collect()
+    assert len(whole) == len(rows)
+    for block in (1, 3, 10):
+        assert in_order(html_extraction.extract(pages(spark, rows), block=block).collect()) == in_order(whole)

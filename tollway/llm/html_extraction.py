@@ -10,11 +10,14 @@ has them. Lines outside an article are decided by the comparison; one that repea
 page's own articles is told once, in the article. A class name marks a frame if all its parts are
 words for frames or places (`site-footer`), so `has-sidebar` on a wrapper does not.
 
-Pages are paired within blocks of one host and directory. A directory with more than `BLOCK` pages
-is split by a hash into as many parts as it takes, so no block grows with the tables, and blocks
-do not depend on how the table is partitioned. Pages without a partner are compared with none.
-Pages that are equal line by line, or without an article and with all lines shared, are copies of
-each other, and nothing is deleted.
+The order of a host does not end at a directory or a number of pages. All pages are sorted by host,
+path, URL and id, without their html, and the order is cut into blocks of at most `BLOCK` pages and
+about `BLOCK_BYTES` of html. Each page is sent to its block, and the first and the last page of
+a block also to the blocks beside it, if these go on with the same host. So every page meets the pages
+before and after it, whatever the cuts, and no block grows with the tables; only rows with equal URL, id
+and html are never cut apart. Two rows for a block, its first and last place, pass through the driver.
+A host's only page is compared with none. Pages that are equal line by line, or without an article
+and with all lines shared, are copies of each other, and nothing is deleted.
 
 Nulls and odd input: null or empty html gives an empty text. Pages without a URL are one more host.
 Null ids and repeated rows keep their rows. Broken markup is read as far as it goes; what is not
@@ -25,18 +28,19 @@ an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollway.llm.columns import store
 
 BLOCK = 1_000  # pages
+BLOCK_BYTES = 16 << 20  # bytes of html, if one page does not have more
 
 # Fixed lists: what the elements of HTML are for, and words that name parts of a page.
 _UNSEEN = "script style noscript template iframe svg canvas audio video object textarea select title"
@@ -185,72 +189,139 @@ def own_text(lines: list[str], kinds: list[int], other: list[str] | None) -> str
     )
 
 
-def _nearest(paths: list[str], i: int) -> int | None:
-    """Of the places before and after i, the one whose path has more in common with that of i."""
-    near = [j for j in (i - 1, i + 1) if 0 <= j < len(paths)]
+def _nearest(hosts: list[str], paths: list[str], i: int) -> int | None:
+    """Of the places of the host before and after i, the one whose path has more in common with that of i."""
+    near = [j for j in (i - 1, i + 1) if 0 <= j < len(paths) and hosts[j] == hosts[i]]
     return max(near, key=lambda j: len(commonprefix([paths[j], paths[i]])), default=None)
 
 
-_PARSED = ["id", "url", "path", "host", "dir", "part", "lines", "kinds"]
+_PLACE = ["host", "path", "url_key", "id_key", "html_key"]  # what pages are ordered by
+_PLACE_TYPES = "host string, path string, url_key string, id_key string, html_key bigint"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = [page_lines(html.as_py()) for html in batch.column(6)]
-        columns = [batch.column(i) for i in range(6)]
-        columns.append(pa.array([x[0] for x in pages], pa.list_(pa.string())))
-        columns.append(pa.array([x[1] for x in pages], pa.list_(pa.int8())))
-        yield pa.RecordBatch.from_arrays(columns, _PARSED)
+def _place(url: Column, id_: Column, html: Column) -> dict[str, Column]:
+    url = F.coalesce(url, F.lit(""))
+    return {
+        "host": F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)),
+        "path": F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1),
+        "url_key": url,
+        "id_key": F.coalesce(id_.cast("string"), F.lit("")),
+        "html_key": F.xxhash64(html),
+    }
+
+
+def _cut(block: int, block_bytes: int):
+    """The first and last place of every block, of places in order; equal ones stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        pages = size = 0
+        for batch in batches:
+            blocks = []
+            for *place, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if first is None:
+                    first = place
+                elif place != last and (pages >= block or size + n > block_bytes):
+                    blocks.append((first, last))
+                    first, pages, size = place, 0, 0
+                last, pages, size = place, pages + 1, size + n
+            yield ends(blocks)
+        yield ends([(first, last)] if first else [])
+
+    def ends(blocks) -> pa.RecordBatch:
+        rows = [[*first, *last] for first, last in blocks]
+        types = [pa.string()] * 4 + [pa.int64()]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types + types)]
+        return pa.RecordBatch.from_arrays(columns, [f"{e}_{c}" for e in "ab" for c in _PLACE])
+
+    return run
+
+
+def blocks_of(pages: DataFrame, block: int, block_bytes: int) -> list[tuple[tuple, tuple]]:
+    """(first place, last place) of the blocks of pages (id, url, html), in order."""
+    places = pages.select(
+        *[c.alias(name) for name, c in _place(F.col("url"), F.col("id"), F.col("html")).items()],
+        F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint").alias("n"),
+    )
+    types = ", ".join(f"{e}_{c}" for e in "ab" for c in _PLACE_TYPES.split(", "))
+    # stored, as the cuts are not the same each time they are made
+    cut = store(
+        places.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+        .mapInArrow(_cut(block, block_bytes), types),
+        "blocks-of-pages",
+    )
+    n = len(_PLACE)
+    return sorted((tuple(r[:n]), tuple(r[n:])) for r in cut.collect())
+
+
+_DEALT = ["block", "own", "id", "url", *_PLACE, "lines", "kinds"]
+
+
+def _deal(blocks: list[tuple[tuple, tuple]]):
+    """The lines of pages, sent to their blocks, and of those at an end also to the next block."""
+    firsts = [a for a, _ in blocks]
+
+    def homes(place: tuple) -> Iterator[tuple[int, bool]]:
+        at = bisect_right(firsts, place) - 1
+        yield at, True
+        first, last = blocks[at]
+        if place == first and at and blocks[at - 1][1][0] == place[0]:
+            yield at - 1, False
+        if place == last and at + 1 < len(blocks) and firsts[at + 1][0] == place[0]:
+            yield at + 1, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(_PLACE)
+        for batch in batches:
+            pages = [page_lines(html.as_py()) for html in batch.column(n + 2)]
+            places = zip(*(batch.column(i).to_pylist() for i in range(2, n + 2)))
+            sent = [(r, at, own) for r, place in enumerate(places) for at, own in homes(place)]
+            rows = pa.array([r for r, _, _ in sent], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([at for _, at, _ in sent], pa.int64()),
+                    pa.array([own for _, _, own in sent], pa.bool_()),
+                    *[batch.column(i).take(rows) for i in range(n + 2)],
+                    pa.array([pages[r][0] for r, _, _ in sent], pa.list_(pa.string())),
+                    pa.array([pages[r][1] for r, _, _ in sent], pa.list_(pa.int8())),
+                ],
+                _DEALT,
+            )
+
+    return run
 
 
 def _differ(table: pa.Table) -> pa.Table:
-    ids, urls, paths = (table[c].to_pylist() for c in ("id", "url", "path"))
-    lines, kinds = table["lines"].to_pylist(), table["kinds"].to_pylist()
-    # by path, then by what the page has, so that the order does not depend on the rows' order
-    order = sorted(range(len(ids)), key=lambda r: (paths[r], urls[r] or "", str(ids[r]), lines[r]))
-    in_order = [paths[r] for r in order]
-    text = [""] * len(ids)
+    places = list(zip(*(table[c].to_pylist() for c in _PLACE)))
+    own, lines, kinds = (table[c].to_pylist() for c in ("own", "lines", "kinds"))
+    order = sorted(range(len(places)), key=places.__getitem__)
+    hosts = [places[r][0] for r in order]
+    in_order = [places[r][1] for r in order]
+    text = [None] * len(places)
     for i, r in enumerate(order):
-        j = _nearest(in_order, i)
-        text[r] = own_text(lines[r], kinds[r], None if j is None else lines[order[j]])
-    return pa.table({"id": table["id"], "url": table["url"], "text": pa.array(text, pa.string())})
+        if own[r]:
+            j = _nearest(hosts, in_order, i)
+            text[r] = own_text(lines[r], kinds[r], None if j is None else lines[order[j]])
+    found = pa.table({"id": table["id"], "url": table["url"], "text": pa.array(text, pa.string())})
+    return found.filter(table["own"])
 
 
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    block: int = BLOCK,
+    block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, url, text, n_chars) of every page."""
-    url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")
     )
-    rows = rows.withColumn("path", F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
-    rows = rows.withColumns({
-        "host": F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)),
-        "dir": F.regexp_extract("path", r"^(.*/)[^/]+/*$", 1),
-    })
-    # at most one row for every `block` pages; as a table its size is known when the join with the
-    # pages is planned, so that a small one is sent to the pages
-    split = store(
-        rows.groupBy("host", "dir")
-        .agg(F.count("*").alias("pages"))
-        .where(F.col("pages") > block)
-        .select("host", "dir", F.ceil(F.col("pages") / block).alias("parts")),
-        "large-directories",
-    )
-    dealt = rows.join(split, ["host", "dir"], "left").withColumn(
-        "part", F.pmod(F.xxhash64("url", F.col("id").cast("string")), F.coalesce("parts", F.lit(1)))
-    )
+    place = _place(F.col("url"), F.col("id"), F.col("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = dealt.select(*_PARSED[:6], "html").mapInArrow(
-        _parse,
-        f"id {kind}, url string, path string, host string, dir string, part bigint,"
+    dealt = rows.select("id", "url", *[c.alias(name) for name, c in place.items()], "html").mapInArrow(
+        _deal(blocks_of(rows, block, block_bytes)),
+        f"block bigint, own boolean, id {kind}, url string, {_PLACE_TYPES},"
         " lines array<string>, kinds array<tinyint>",
     )
-    found = parsed.groupBy("host", "dir", "part").applyInArrow(
-        _differ, f"id {kind}, url string, text string"
-    )
+    found = dealt.groupBy("block").applyInArrow(_differ, f"id {kind}, url string, text string")
     return found.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
         F.char_length("text").cast("bigint").alias("n_chars"),
